@@ -38,13 +38,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df`` (at most BATCH_ROWS rows each)."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch of ``df`` (at most ``rows`` rows each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                yield fn(batch.slice(start, BATCH_ROWS))
+            for start in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(start, rows))
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
