@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from helixframe.llm.common import read
 from helixframe.llm.line_dedup import dedup_lines
 from helixframe.llm.packing import pack
+from helixframe.llm.quality_classifier import classify
 from helixframe.llm.simhash import near_duplicates
 from helixframe.llm.token_counts import count_tokens
 
@@ -36,6 +37,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_best_fit_packing, op7_line_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op4_best_fit_packing, op7_line_dedup, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
