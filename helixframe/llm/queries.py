@@ -11,6 +11,7 @@ from helixframe.llm.common import read
 from helixframe.llm.line_dedup import dedup_lines
 from helixframe.llm.packing import pack
 from helixframe.llm.quality_classifier import classify
+from helixframe.llm.quality_rules import apply_rules, rules_sql
 from helixframe.llm.simhash import near_duplicates
 from helixframe.llm.token_counts import count_tokens
 
@@ -45,6 +46,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
@@ -58,8 +63,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op4_best_fit_packing, op7_line_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op7_line_dedup, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_quality_rules": rules_sql(), "op7_line_dedup": LINE_DEDUP_SQL}
