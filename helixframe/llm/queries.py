@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.common import read
+from helixframe.llm.html_text import extract
 from helixframe.llm.line_dedup import dedup_lines
 from helixframe.llm.packing import pack
 from helixframe.llm.quality_classifier import classify
@@ -54,6 +55,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"), threshold=10)
 
@@ -63,7 +68,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op7_line_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op7_line_dedup, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
