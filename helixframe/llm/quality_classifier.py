@@ -110,24 +110,53 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[int], s: S
     return Model(s, vectors, weights, bias)
 
 
+class WordTable:
+    """What a model knows of the words met so far: a row each with the sum of its vectors, their number and its hash.
+
+    Bounded: beyond ROWS words it starts anew, with the same results.
+    """
+
+    ROWS = 500_000
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.rows = model, {}
+        self.sums = np.zeros((self.ROWS, model.settings.width), np.float32)
+        self.sizes = np.zeros(self.ROWS, np.int32)
+        self.hashes = np.zeros(self.ROWS, np.uint64)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.rows.get, words))
+        if None in found:
+            new = {w for w, row in zip(words, found, strict=True) if row is None}
+            if len(self.rows) + len(new) > self.ROWS:
+                self.rows.clear()
+                new = set(words)
+            for w in new:
+                own, row = word_features(w, self.model.settings), len(self.rows)
+                self.sums[row] = self.model.vectors[own].sum(axis=0)
+                self.sizes[row], self.hashes[row], self.rows[w] = len(own), zlib.crc32(w.encode()), row
+            found = [self.rows[w] for w in words]
+        return np.array(found)
+
+
 def score(texts: list[str | None], model: Model) -> np.ndarray:
     """Probability of quality 1; a text without words gets that of the bias alone."""
-    s, held = model.settings, model._words
+    s = model.settings
+    if "table" not in model._words:
+        model._words["table"] = WordTable(model)
+    table = model._words["table"]
     means = np.zeros((len(texts), s.width), np.float32)
-    if len(held) > 200_000:
-        held.clear()
     for row, text in enumerate(texts):
         words = document_words(text)
-        if not words:
-            continue
-        for w in set(words):
-            if w not in held:
-                own = word_features(w, s)
-                held[w] = (model.vectors[own].sum(axis=0), len(own), zlib.crc32(w.encode()))
-        found = [held[w] for w in words]
-        pairs = _pairs(np.array([x[2] for x in found], np.uint64), s).astype(np.int64)
-        total = np.sum([x[0] for x in found], axis=0) + model.vectors[pairs].sum(axis=0)
-        means[row] = total / (sum(x[1] for x in found) + len(pairs))
+        total, size = np.zeros(s.width, np.float64), 0
+        for at in range(0, len(words), WordTable.ROWS // 2):  # a very long text in parts, each with the last word before it
+            rows = table.find(words[max(0, at - 1) : at + WordTable.ROWS // 2])
+            pairs = _pairs(table.hashes[rows], s).astype(np.int64)
+            rows = rows[1:] if at else rows
+            total += table.sums[rows].sum(axis=0) + model.vectors[pairs].sum(axis=0)
+            size += int(table.sizes[rows].sum()) + len(pairs)
+        if size:
+            means[row] = total / size
     return _softmax(means @ model.weights + model.bias)[:, 1].astype(np.float64)
 
 

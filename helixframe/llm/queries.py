@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.common import read
+from helixframe.llm.decontamination import DECONTAMINATION_SQL, contaminated
 from helixframe.llm.html_text import extract
+from helixframe.llm.license_scan import license_sql, scan, templates_table
 from helixframe.llm.line_dedup import dedup_lines
 from helixframe.llm.packing import pack
 from helixframe.llm.quality_classifier import classify
@@ -59,6 +61,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"), threshold=10)
 
@@ -67,9 +73,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"), templates_table(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op7_line_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_benchmark_decontamination, op7_line_dedup, op8_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules_sql(), "op7_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_quality_rules": rules_sql(), "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op10_license_scan": license_sql()}
