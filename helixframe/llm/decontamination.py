@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialise
+from helixframe.llm.common import computed, materialise
 
 WINDOW, NEEDED = 13, 11  # an agreement of 0.8 or more
 #: Offsets of the words that a seed reads; the two leave no pair of substitutions in WINDOW words uncovered.
@@ -27,7 +27,8 @@ def plain_words(text: Column) -> Column:
 
 def _seeds(words: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     """A row for each place and mask of each row's ``words``: at, seed."""
-    placed = words.where(F.size("words") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))
+    placed = words.select("*", F.explode_outer(places).alias("at"))
     hashes = [F.when(F.col("at") + mask[-1] < F.size("words"), F.xxhash64(F.lit(k), *(F.get("words", F.col("at") + o) for o in mask))) for k, mask in enumerate(masks)]
     return placed.select("*", F.explode(F.array(*hashes)).alias("seed")).where("seed is not null")
 
@@ -51,7 +52,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lookup = items.select(F.col("item_id").alias("item"), F.col("words").alias("item_words"))
     if rows <= BROADCAST_SEEDS:
         seeds, lookup = F.broadcast(seeds), F.broadcast(lookup)
-    words = docs.where("doc_id is not null").select("doc_id", plain_words(F.col("text")).alias("words"))
+    words = computed(docs.where("doc_id is not null").select("doc_id", "text"), "words", plain_words(F.col("text"))).select("doc_id", "words")
     hits = _seeds(words, masks).join(seeds, "seed").join(lookup, "item").withColumn("start", F.col("at") - F.col("item_at"))
     low, high = F.greatest(F.lit(0), -F.col("start")), F.least(F.size("item_words"), F.size("words") - F.col("start"))
     equal = F.transform(F.sequence(low, high - 1), lambda j: F.when(F.get("item_words", j) == F.get("words", F.col("start") + j), 1).otherwise(0))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialise
+from helixframe.llm.common import computed, materialise
 from helixframe.llm.decontamination import plain_words
 
 WORDS = 5
@@ -43,16 +43,14 @@ def templates_table(spark: SparkSession) -> DataFrame:
 
 def _shingles(df: DataFrame) -> DataFrame:
     """Add ``shingles``: the hash of every run of WORDS words (null where there is none)."""
-    words = df.withColumn("words", plain_words(F.col("text")))
+    words = computed(df, "words", plain_words(F.col("text")))
     own = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(WORDS))))
-    return words.withColumn("shingles", F.when(F.size("words") >= WORDS, own))
+    return computed(words, "shingles", F.when(F.size("words") >= WORDS, own))
 
 
-def _bands(values: F.Column) -> F.Column:
-    def low(band: int) -> F.Column:
-        return F.array_min(F.transform(values, lambda h: F.xxhash64(h, F.lit(band))))
-
-    return F.array(*(F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in range(BANDS)))
+def _signed(df: DataFrame, values: str) -> DataFrame:
+    """A row for each band, with the MinHash of the column ``values``."""
+    return df.withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(BANDS)))).withColumn("low", F.array_min(F.transform(values, lambda h: F.xxhash64(h, F.col("band")))))
 
 
 def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -68,15 +66,14 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     schema = "doc_id long, license_id string, containment double, first_word long"
     if not known:
         return docs.sparkSession.createDataFrame([], schema)
-    rows = _shingles(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where("shingles is not null")
-    rows = rows.select("doc_id", "shingles", F.filter(F.transform("shingles", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull()).alias("hits")).where(F.size("hits") > 0)
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("m")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("m") / 2).cast("int")))
+    rows = _shingles(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = computed(rows, "hits", F.filter(F.transform("shingles", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
+    rows = rows.select("doc_id", "shingles", "hits", F.explode(F.array(*map(F.lit, sizes))).alias("m")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("m") / 2).cast("int")))
     lowest = lambda i: F.greatest(F.lit(0), F.ceil((i - F.col("m") - F.col("step") + 1) / F.col("step")).cast("int"))
     near = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(lowest(i), F.floor(i / F.col("step")).cast("int")))))
     windows = rows.select("doc_id", "m", "step", "shingles", F.explode(near).alias("k")).withColumn("start", F.col("k") * F.col("step"))
     windows = windows.select("doc_id", "m", "start", F.slice("shingles", F.col("start") + 1, F.col("m") + F.col("step")).alias("window"))
-    signed = windows.select("doc_id", "m", "start", "window", F.explode(_bands(F.col("window"))).alias("sign")).select("doc_id", "m", "start", "window", "sign.*")
-    kept = wanted.select("license_id", "m", "template", F.explode(_bands(F.col("template"))).alias("sign")).select("license_id", "m", "template", "sign.*")
+    signed, kept = _signed(windows, "window"), _signed(wanted.select("license_id", "m", "template"), "template")
     met = signed.join(F.broadcast(kept), ["m", "band", "low"])  # the template list's size is the caller's, not the corpus's
     shared = F.size(F.array_intersect("template", "window")) / F.size("template")
     first = F.array_min(F.filter(F.transform("window", lambda h, i: F.when(F.array_contains("template", h), i)), lambda i: i.isNotNull()))
