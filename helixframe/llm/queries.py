@@ -16,6 +16,7 @@ from helixframe.llm.packing import pack
 from helixframe.llm.quality_classifier import classify
 from helixframe.llm.quality_rules import apply_rules, rules_sql
 from helixframe.llm.simhash import near_duplicates
+from helixframe.llm.substring_dedup import dedup_substrings
 from helixframe.llm.token_counts import count_tokens
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +42,25 @@ FROM marked GROUP BY doc_id
 """
 
 
+SUBSTRING_DEDUP_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), h AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i + 49 <= len(ws) THEN md5(array_to_string(ws[i:i + 49], ' ')) END)) AS w,
+         unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d
+), f AS (
+  SELECT w, min(doc_id) AS first_doc FROM h WHERE w IS NOT NULL GROUP BY w
+), m AS (
+  SELECT h.doc_id, i, word, bool_or(coalesce(first_doc < h.doc_id, false)) OVER (PARTITION BY h.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM h LEFT JOIN f ON h.w = f.w
+), k AS (
+  SELECT doc_id, count_if(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -73,13 +93,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read(spark, sf_dir, "documents"), window=50)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"), templates_table(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_benchmark_decontamination, op7_line_dedup, op8_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_benchmark_decontamination, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules_sql(), "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op10_license_scan": license_sql()}
+    return {"op3_quality_rules": rules_sql(), "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op9_substring_dedup": SUBSTRING_DEDUP_SQL, "op10_license_scan": license_sql()}
