@@ -28,8 +28,10 @@ GRAM = 8
 RUN = 64
 #: Words wanted in a shard's index: bounds a task's memory.
 SHARD_WORDS = 400_000
-#: A minimizer with more different fragments than this is dealt by whole windows.
-HOT_FRAGMENTS = 2000
+#: A minimizer with more different fragments than this (some 3.5 shards) is dealt by whole windows.
+HOT_FRAGMENTS = 20_000
+#: Hot minimizers up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_HOT = 1_000_000
 #: Repeated minimizers up to this many go to all tasks (8 bytes each); more are joined by a shuffle, with equal results.
 BROADCAST_MINIMIZERS = 4_000_000
 
@@ -195,10 +197,12 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     repeated = materialise(_repeated(docs, window), "repeated-minimizers")
     fragments = materialise(_fragments(docs, repeated, window), "fragments")
     distinct = materialise(_distinct(fragments), "distinct-fragments")
-    hot = distinct.groupBy("m").count().where(F.col("count") > HOT_FRAGMENTS).select("m")
+    hot = materialise(distinct.groupBy("m").count().where(F.col("count") > HOT_FRAGMENTS).select("m"), "hot-minimizers")
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
     found = _search(distinct.join(hot, "m", "left_anti"), window)
     places = [fragments.select("m", "digest", "doc_id", "text_key", "start").join(found, ["m", "digest"])]
-    if hot.limit(1).count():
+    if n_hot:
         single = materialise(_by_window(fragments.join(hot, "m", "left_semi"), window), "fragment-windows")
         places.append(single.select("m", "digest", "doc_id", "text_key", "start").join(_search(_distinct(single), window), ["m", "digest"]))
     all_places = places[0] if len(places) == 1 else places[0].unionByName(places[1])
