@@ -1,4 +1,4 @@
-"""All registered queries of the reference's operators and their SQL equivalents."""
+"""All registered queries of the library's operators and their SQL equivalents."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixframe.plans import scalar
+
+MODULES = (scalar,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
