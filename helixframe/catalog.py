@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import scalar
+from helixframe.plans import analysis, reads, scalar
 
-MODULES = (scalar,)
+MODULES = (scalar, reads, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from helixframe.functions.sequence import ascii_upper, count_of
 from helixframe.functions.tables import C_TERM_PKA, HYDROPATHY, N_TERM_PKA, NEGATIVE_PKA, POSITIVE_PKA, RESIDUE_MASS, RESIDUES, UNKNOWN_RESIDUE_MASS, WATER_MASS
@@ -43,7 +44,7 @@ def extinction_coefficient(s: Column) -> Column:
     return 5500 * count_of(s, "W") + 1490 * count_of(s, "Y") + 125 * F.floor(count_of(s, "C") / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def isoelectric_point(protein: pd.Series) -> pd.Series:
     """The pH without net charge, by 60 bisections on 0 to 14 for all rows at once; 7 where empty."""
     counts = {r: protein.str.count(r).to_numpy(float) for r in "KRHDECY"}

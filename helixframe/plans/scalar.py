@@ -16,21 +16,29 @@ from helixframe.plans import views
 from helixframe.plans.views import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
-SEQ = F.col("seq")
 
 
-def over(view: Query, **columns: Column) -> Query:
+def over(view: Query, columns: Callable[[], dict[str, Column]]) -> Query:
+    """``columns`` are made when the query is, as expressions need a session."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return view(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in columns.items()))
+        return view(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in columns().items()))
 
     return query
 
 
-def whole_text(**columns: Column) -> Query:
-    return over(lambda spark, sf_dir: views.read(spark, sf_dir, "documents"), **columns)
+def whole_text(columns: Callable[[], dict[str, Column]]) -> Query:
+    return over(lambda spark, sf_dir: views.read(spark, sf_dir, "documents"), columns)
+
+
+def text() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
+def seq() -> Column:
+    return F.col("seq")
 
 
-TEXT = F.coalesce("text", F.lit(""))
 SQL_TEXT = f"translate(coalesce(text, ''), '{sq.LOWER}', '{sq.UPPER}')"
 
 
@@ -49,13 +57,10 @@ def weighted_sql(scale: dict[str, float]) -> str:
     return "(" + " + ".join(f"{count_sql(r)} * {v}::DOUBLE" for r, v in scale.items()) + ")"
 
 
-ORF = sq.longest_m_segment(sq.translate_codons(SEQ))
-RNA = sq.rna_class(F.length("seq"), F.col("orf"), F.col("tail"))
-
-
 def rna_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = views.text_dna(spark, sf_dir).select("doc_id", "seq", ORF.alias("orf"), sq.poly_a_tail(SEQ).alias("tail"))
-    return measured.select("doc_id", RNA[0].alias("rna_class"), RNA[1].alias("confidence"), F.col("orf").alias("longest_orf"), F.col("tail").alias("poly_a"))
+    measured = views.text_dna(spark, sf_dir).select("doc_id", "seq", sq.longest_m_segment(sq.translate_codons(seq())).alias("orf"), sq.poly_a_tail(seq()).alias("tail"))
+    kind, confidence = sq.rna_class(F.length("seq"), F.col("orf"), F.col("tail"))
+    return measured.select("doc_id", kind.alias("rna_class"), confidence.alias("confidence"), F.col("orf").alias("longest_orf"), F.col("tail").alias("poly_a"))
 
 
 def dna_helix_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,26 +97,26 @@ bool_and(list_contains({list(MONOISOTOPIC)}, a[1])) AS known FROM a GROUP BY p_p
 
 MEANS = {"helix": HELIX, "sheet": SHEET, "turn": TURN}
 QUERIES: dict[str, Query] = {
-    "seq_sanitize": whole_text(sanitized=sq.sanitize(TEXT)),
-    "seq_detect_type": whole_text(seq_type=sq.detect_type(sq.sanitize(TEXT))),
-    "seq_complement": over(views.text_dna, dna=sq.complement(SEQ), rna=sq.complement(SEQ, True)),
-    "seq_revcomp": over(views.text_dna, revcomp=sq.reverse_complement(SEQ)),
-    "seq_gc_at": over(views.text_dna, gc=F.round(sq.gc_content(SEQ), 6), at=F.round(sq.at_content(SEQ), 6)),
+    "seq_sanitize": whole_text(lambda: dict(sanitized=sq.sanitize(text()))),
+    "seq_detect_type": whole_text(lambda: dict(seq_type=sq.detect_type(sq.sanitize(text())))),
+    "seq_complement": over(views.text_dna, lambda: dict(dna=sq.complement(seq()), rna=sq.complement(seq(), True))),
+    "seq_revcomp": over(views.text_dna, lambda: dict(revcomp=sq.reverse_complement(seq()))),
+    "seq_gc_at": over(views.text_dna, lambda: dict(gc=F.round(sq.gc_content(seq()), 6), at=F.round(sq.at_content(seq()), 6))),
     "seq_composition": seq_composition,
-    "seq_translate": over(views.text_dna, protein=sq.translate_codons(SEQ)),
-    "seq_transcribe": over(views.text_dna, coding=sq.transcribe_coding(SEQ), template=sq.transcribe_template(SEQ)),
-    "kmer_count": over(views.text_dna, n_kmers=F.size(sq.kmers(SEQ, 6)), n_distinct=F.size(F.array_distinct(sq.kmers(SEQ, 6)))),
-    "polya_tail": over(views.text_dna, tail=sq.poly_a_tail(SEQ)),
+    "seq_translate": over(views.text_dna, lambda: dict(protein=sq.translate_codons(seq()))),
+    "seq_transcribe": over(views.text_dna, lambda: dict(coding=sq.transcribe_coding(seq()), template=sq.transcribe_template(seq()))),
+    "kmer_count": over(views.text_dna, lambda: dict(n_kmers=F.size(sq.kmers(seq(), 6)), n_distinct=F.size(F.array_distinct(sq.kmers(seq(), 6))))),
+    "polya_tail": over(views.text_dna, lambda: dict(tail=sq.poly_a_tail(seq()))),
     "rna_classify": rna_classify,
-    "protein_mw": over(views.text_protein, mw=F.round(prot.molecular_weight(SEQ), 3)),
-    "protein_gravy": over(views.text_protein, gravy=F.round(prot.gravy(SEQ), 6)),
-    "protein_aliphatic": over(views.text_protein, aliphatic=F.round(prot.aliphatic_index(SEQ), 6)),
-    "protein_extinction": over(views.text_protein, extinction=prot.extinction_coefficient(SEQ).cast("long")),
-    "protein_ss_propensity": over(views.text_protein, **{n: F.round(prot.mean_of(SEQ, s, 1.0), 6) for n, s in MEANS.items()}),
-    "protein_pi": over(views.text_protein, pi=F.round(prot.isoelectric_point(SEQ), 6)),
-    "primer_tm": over(views.hash_dna, tm_short=F.round(sq.melting_temperature(F.substring(SEQ, 1, 12)), 6), tm_long=F.round(sq.melting_temperature(SEQ), 6)),
-    "homopolymer_max": over(views.text_dna, longest=sq.longest_homopolymer(SEQ)),
-    "stability_report": over(views.text_dna, tm=F.round(sq.stability_temperature(SEQ), 6), assessment=sq.thermal_stability(sq.gc_content(SEQ)), repeat_note=sq.longest_homopolymer(SEQ) >= 6),
+    "protein_mw": over(views.text_protein, lambda: dict(mw=F.round(prot.molecular_weight(seq()), 3))),
+    "protein_gravy": over(views.text_protein, lambda: dict(gravy=F.round(prot.gravy(seq()), 6))),
+    "protein_aliphatic": over(views.text_protein, lambda: dict(aliphatic=F.round(prot.aliphatic_index(seq()), 6))),
+    "protein_extinction": over(views.text_protein, lambda: dict(extinction=prot.extinction_coefficient(seq()).cast("long"))),
+    "protein_ss_propensity": over(views.text_protein, lambda: dict(**{n: F.round(prot.mean_of(seq(), s, 1.0), 6) for n, s in MEANS.items()})),
+    "protein_pi": over(views.text_protein, lambda: dict(pi=F.round(prot.isoelectric_point(seq()), 6))),
+    "primer_tm": over(views.hash_dna, lambda: dict(tm_short=F.round(sq.melting_temperature(F.substring(seq(), 1, 12)), 6), tm_long=F.round(sq.melting_temperature(seq()), 6))),
+    "homopolymer_max": over(views.text_dna, lambda: dict(longest=sq.longest_homopolymer(seq()))),
+    "stability_report": over(views.text_dna, lambda: dict(tm=F.round(sq.stability_temperature(seq()), 6), assessment=sq.thermal_stability(sq.gc_content(seq())), repeat_note=sq.longest_homopolymer(seq()) >= 6)),
     "dna_helix_atoms": dna_helix_atoms,
     "formula_mass": formula_mass,
 }
