@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import analysis, reads, scalar
+from helixframe.plans import analysis, kernels, reads, scalar, stream
 
-MODULES = (scalar, reads, analysis)
+MODULES = (scalar, reads, analysis, kernels, stream)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
