@@ -1,7 +1,8 @@
 """The training-data pipeline: stages over documents, each written and read again as the next one's input.
 
 Every stage reads its predecessor's rows, and its decisions take effect; all but the last return the columns of
-``documents``, with ``n_chars`` kept true to the text.
+``documents``, with ``n_chars`` kept true to the text. Decisions hold for rows, not ids: a null or repeated doc_id is a
+row like any other.
 """
 
 from __future__ import annotations
@@ -10,37 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import queries as llm
-from helixframe.llm.common import materialise, read
+from helixframe.llm.common import ROW, materialise, numbered, read
 from helixframe.llm.decontamination import contaminated
-from helixframe.llm.line_dedup import dedup_lines
+from helixframe.llm.line_dedup import without_frequent_lines
 from helixframe.llm.packing import pack
-from helixframe.llm.quality_classifier import classify
-from helixframe.llm.simhash import near_duplicates
+from helixframe.llm.quality_classifier import accepted
+from helixframe.llm.simhash import representatives
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = classify(docs, read(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return accepted(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; documents stay, even if nothing is left of them."""
-    kept = dedup_lines(docs, threshold=10, with_text=True).select("doc_id", F.col("text").alias("kept_text"))
-    joined = docs.drop("text", "n_chars").join(kept, "doc_id").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(docs.columns)
+    return without_frequent_lines(docs, threshold=10).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return representatives(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, "rows")
+    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,6 +211,17 @@ def _kept(text: bytes | None, dropped: set[bytes]) -> tuple[int, int, bytes]:
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
+def _with_frequent_lines(docs: DataFrame, threshold: int) -> DataFrame:
+    """The rows of ``docs`` with ``_dropped``: the digests that the row's text loses (null: none).
+
+    The join goes by a hash of doc_id and text, so a null or repeated doc_id is a row like any other; where two rows
+    share a hash, each gets the frequent digests of both, and its own lines still decide.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    frequent = frequent_line_docs(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold)
+    return keyed.join(frequent.select(F.col("doc_id").alias("_key"), F.col("dropped").alias("_dropped")), "_key", "left").drop("_key")
+
+
 def frequent_line_docs(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """(doc_id, dropped): the digests that each document loses, for documents that lose any."""
     keys = materialise(document_keys(docs), "line-keys")
@@ -231,7 +242,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, with_text: bool = False) -
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [_kept(t, set(d or ())) for t, d in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist(), strict=True)]
+        rows = [_kept(t, set(d or ())) for t, d in zip(batch.column("text").to_pylist(), batch.column("_dropped").to_pylist(), strict=True)]
         columns = [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())]
         names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
         if with_text:
@@ -239,5 +250,17 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, with_text: bool = False) -
             columns, names = [*columns, pa.array(texts, pa.string())], [*names, "text"]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    joined = _text(docs).join(frequent_line_docs(docs, threshold), "doc_id", "left")
-    return map_batches(joined, run, schema)
+    return map_batches(_with_frequent_lines(_text(docs), threshold), run, schema)
+
+
+def without_frequent_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
+    """The rows of ``docs``, each once and with all its columns, the text as ``dedup_lines`` keeps it."""
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = zip(batch.column("text").to_pylist(), batch.column("_dropped").to_pylist(), strict=True)
+        texts = pa.array([None if t is None else _kept(t, set(d or ()))[2].decode() for t, d in pairs], pa.string())
+        return pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
+
+    rows = _with_frequent_lines(docs, threshold).withColumn("text", F.col("text").cast("string").cast("binary"))
+    return map_batches(rows, run, docs.withColumn("text", F.col("text").cast("string")).schema)

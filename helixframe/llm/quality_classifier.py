@@ -182,6 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return train(features, [int(r["quality"] == 1) for r in rows], s)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """The rows of ``docs``, with all their columns, whose own text ``classify`` predicts as 1, whatever their doc_id."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, s))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(score(batch.column("text").cast(pa.string()).to_pylist(), model.value) >= s.threshold))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), with_text: bool = False) -> DataFrame:  # noqa: B008
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= the threshold).
 

@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_batches, materialise
+from helixframe.llm.common import ROW, map_batches, materialise, numbered
 
 #: Fingerprints wanted in a subtrie: bounds a task's memory at any size of the corpus.
 SUBTRIE = 4096
@@ -42,14 +42,15 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits((2 * (seen @ _BITS)).ravel() > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each document as a signed long."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) and the long columns ``more``: the fingerprint of each document as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), *(batch.column(c) for c in more)], ["doc_id", "fp", *more])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *more)
+    return map_batches(rows, run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -171,6 +172,25 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(prints: DataFrame, first: Column) -> DataFrame:
+    """(fp, first, root): each fingerprint with the smallest ``first`` of its rows and the root of its component."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    roots = connected_components(fingerprint_links(distinct.select("fp"), distinct.count()))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id, with all its columns.
+
+    A null doc_id counts as larger than any other; of several rows with the smallest one stays.
+    """
+    rows = numbered(docs, "rows")
+    prints = materialise(fingerprints(rows, ROW), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
+    chosen = _rooted(prints, order).groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(chosen, ROW, "left_semi").select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
@@ -178,9 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     extra columns are ignored; an empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), distinct.count()))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    rooted = _rooted(prints, F.col("doc_id"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
