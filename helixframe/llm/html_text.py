@@ -24,6 +24,11 @@ BOILERPLATE = frozenset("nav footer aside form button select dialog menu head fi
 BLOCKS = frozenset("address article blockquote body caption dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What stays where it stands between chosen siblings.
+BETWEEN = HEADINGS | frozenset("p ul ol dl pre table blockquote figure".split())
+#: A text shorter than this is taken again without the rule on names, and the second kept if it is so many times longer.
+SHORT, LONGER = 250, 3
 #: Which open elements an opening tag ends, up to the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -42,12 +47,12 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "linked", "commas", "named")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.parts: list[Element | str] = []
-        self.points, self.chars, self.linked, self.commas = 0.0, 0, 0, 0
+        self.points, self.chars, self.linked, self.commas, self.named = 0.0, 0, 0, 0, False
 
 
 def parse(html: str) -> tuple[Element, list[Element]]:
@@ -92,10 +97,12 @@ def parse(html: str) -> tuple[Element, list[Element]]:
             here.parts.append(Element("hr", here, False) if tag == "hr" else " ")
             continue
         inside = here.dropped or tag in BOILERPLATE or (tag == "header" and not _within(here, ("article", "main")))
+        named = False
         if not inside and m[3] and tag not in ("body", "article", "main"):
             names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3]))
-            inside = bool(names and _UNLIKELY.search(names)) or bool(_HIDDEN.search(m[3]))
+            named, inside = bool(names and _UNLIKELY.search(names)), bool(_HIDDEN.search(m[3]))
         node = Element(tag, here, inside)
+        node.named = named
         here.parts.append(node)
         every.append(node)
         if not m[3].rstrip().endswith("/") or tag in BLOCKS or tag == "a":
@@ -115,6 +122,32 @@ def _within(node: Element | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def _drop_named(every: list[Element]) -> bool:
+    """Drop what its names call no article; tells whether anything went. To be measured anew after that.
+
+    Kept are elements that hold an article or main, and, unless half of their text stands in links, headings, elements
+    that hold an h1 and those with half of the page's text.
+    """
+    if not any(n.named and not n.dropped for n in every):
+        return False
+    holds, titled = set(), set()
+    for node in every:
+        if not node.dropped and node.tag in ("article", "main", "h1"):
+            up, found = node.parent, titled if node.tag == "h1" else holds
+            while up is not None and id(up) not in found:
+                found.add(id(up))
+                up = up.parent
+    for node in every:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+        elif node.named and not node.dropped and id(node) not in holds:
+            main = node.tag in HEADINGS or id(node) in titled or 2 * node.chars > every[0].chars
+            node.dropped = not main or 2 * node.linked >= node.chars
+    for node in every:
+        node.points, node.chars, node.linked, node.commas = 0.0, 0, 0, 0
+    return True
+
+
 def _measure(every: list[Element]) -> None:
     """Text length, length in links and commas of each element, without what is dropped; then the points."""
     for node in reversed(every):
@@ -179,23 +212,46 @@ def _link_list(node: Element) -> bool:
     return node.tag in ("ul", "ol", "div", "section") and node.chars > 0 and node.linked >= 0.9 * node.chars and sum(1 for p in node.parts if not isinstance(p, str)) > 2
 
 
+def _siblings(best: Element) -> list[Element]:
+    """The best element and those of its siblings that belong to its text, in page order."""
+    if best.parent is None:
+        return [best]
+    least = max(2.0, best.points / 5)
+    same = ("article",) if best.tag == "article" else tuple(CONTAINERS | {"p"})
+    around = [n for n in best.parent.parts if n is best or (isinstance(n, Element) and not n.dropped and (n.chars or n.tag in BLOCKS))]
+    at = [k for k, n in enumerate(around) if n is best or (n.tag in same and n.points >= least) or (n.tag == "p" and best.tag != "article" and n.chars > 80 and n.linked < 0.25 * n.chars)]
+    first = at[0]
+    while first and around[first - 1].tag in HEADINGS:
+        first -= 1
+    taken = set(at)
+    return [n for k, n in enumerate(around) if k in taken or (first <= k <= at[-1] and n.tag in BETWEEN and 2 * n.linked < n.chars)]
+
+
+def _text_of(every: list[Element]) -> str:
+    out: list[list[str]] = []
+    for node in _siblings(_best(every)):
+        _blocks(node, out)
+    texts = [" ".join(unescape("".join(pieces)).split()) for pieces in out if pieces]
+    return "\n\n".join(t for t in texts if t)
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main text, white space within a block made one blank, joined by an empty line."""
     if not html:
         return ""
-    root, every = parse(html)
+    _, every = parse(html)
     _measure(every)
-    best = _best(every)
-    chosen = [best]
-    if best.parent is not None:
-        least = max(2.0, best.points / 5)
-        same = ("article",) if best.tag == "article" else tuple(CONTAINERS | {"p"})
-        chosen = [n for n in best.parent.parts if isinstance(n, Element) and (n is best or (not n.dropped and n.tag in same and n.points >= least) or (n.tag == "p" and not n.dropped and best.tag != "article" and n.chars > 80 and n.linked < 0.25 * n.chars))]
-    out: list[list[str]] = []
-    for node in chosen:
-        _blocks(node, out)
-    texts = [" ".join(unescape("".join(pieces)).split()) for pieces in out if pieces]
-    return "\n\n".join(t for t in texts if t)
+    if not _drop_named(every):
+        return _text_of(every)
+    _measure(every)
+    text = _text_of(every)
+    if len(text) < SHORT:
+        _, every = parse(html)
+        _measure(every)
+        whole = _text_of(every)
+        if len(whole) > LONGER * len(text):
+            return whole
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

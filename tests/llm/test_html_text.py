@@ -28,6 +28,24 @@ def test_odd_pages():
     assert main_text("<article><p>" + "word, " * 50000 + "</article>").count("word") == 50000
 
 
+LONG = "A sentence of the text, which is long enough, and goes on for a while. " * 3
+
+
+def test_names_do_not_drop_what_holds_the_article():
+    page = f"<body><div class='layout no-sidebar'><article><h1 class='entry-header'>Title</h1><p>{LONG}</p></article></div></body>"
+    assert main_text(page) == f"Title\n\n{LONG.strip()}"
+    assert main_text(f"<body><div class='has-widget'><p>{LONG}</p></div><div class='widget'><p>Short, one.</p></div></body>") == LONG.strip()
+    page = f"<body><article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='related'><p>Other, more, and so on.</p></div></article></body>"
+    assert main_text(page) == f"Title\n\n{LONG.strip()}"
+    page = f"<body><article><p>x</p><div class='post-tags'><p>{LONG[:72]}</p></div><div class='share-text'><p>{LONG[:72]}</p></div></article></body>"
+    assert main_text(page) == f"x\n\n{LONG[:72].strip()}\n\n{LONG[:72].strip()}"
+
+
+def test_blocks_between_chosen_siblings_stay():
+    page = f"<body><div id=w><h1>Title</h1><div>{f'<p>{LONG}</p>' * 4}</div><h2>Part</h2><ul><li>One<li>Two</ul><pre>code</pre><p>Short.</p><table><tr><td>cell</table><ul><li><a>x</a><li><a>y</a></ul><div><p>{LONG}</p></div><p>End.</p></div></body>"
+    assert main_text(page).split("\n\n") == ["Title", *[LONG.strip()] * 4, "Part", "One", "Two", "code", "Short.", "cell", LONG.strip()]
+
+
 def test_table(spark):
     rows = [Row(page_id=i % 3, url=None if i == 1 else "u", html=h, text="x", n_chars=0) for i, h in enumerate([PAGE, None, "", PAGE])]
     got = extract(spark.createDataFrame(rows)).collect()
