@@ -41,6 +41,7 @@ class _Memo(dict):
         super().__init__()
         self.tokenizer, self.value, self.lead, self.folded = tokenizer, value, lead, folded
         self.merge = tokenizer.model.tokenize
+        self.tails: dict = {}  # apart from the chunks: punctuation alone takes the blank before it
 
     def _word(self, word: str):
         """The stored value of a word of letters below U+0250 (all of them stable under NFC)."""
@@ -79,10 +80,11 @@ class _Memo(dict):
             self.update((chunk, self.value(e.ids)) for chunk, e in zip(other, encoded, strict=True))
 
     def _tail(self, tail: str):
-        key = "\0" + tail  # apart from a chunk of punctuation alone, which takes the blank before it
-        value = self.get(key)
+        value = self.tails.get(tail)
         if value is None:
-            value = self[key] = self.value(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+            if len(self.tails) > MEMO_CHUNKS:
+                self.tails.clear()
+            value = self.tails[tail] = self.value(self.tokenizer.encode(tail, add_special_tokens=False).ids)
         return value
 
 
