@@ -1,8 +1,9 @@
 """Quality rules by weak supervision, in DataFrame functions only (operator 3).
 
-Each rule votes good (1) or bad (0) or abstains (null). Expectation-maximisation over the counts of vote patterns (at
-most 3^rules rows) estimates how often each rule says "bad" on bad and on good documents, and the posterior probability
-of quality decides instead of a demand that all rules pass.
+Each rule votes good (1) or bad (0) or abstains (null). Documents are a mixture of one good kind and one bad kind for
+each rule, as texts go wrong in different ways. Expectation-maximisation over the counts of vote patterns (at most
+3^rules rows) estimates the kinds' shares and how often each rule says "bad" on each, which is the rule's accuracy; the
+posterior probability of the good kind decides instead of a demand that all rules pass.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACE, materialise, words_column
+from helixframe.llm.common import SPACE, let, materialise, words_column
 
 #: Rule -> vote: integer arithmetic on the counts of a document.
 RULES = {
@@ -26,16 +27,21 @@ RULES = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
+#: The kinds of documents: the good one, and a bad one for each rule.
+KINDS = ("good", *RULES)
+
+
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 15
-    good: float = 0.9  # first guess of the share of good documents
-    hit: float = 0.2  # first guess: a rule that votes says "bad" on a bad document
-    false_alarm: float = 0.0005  # first guess: it does on a good one
-    #: Bounds that keep a rule's meaning: it seldom says "bad" of good documents, and no single "good" clears a bad one.
-    hit_range: tuple[float, float] = (0.05, 0.6)
-    alarm_range: tuple[float, float] = (0.0002, 0.003)
-    good_range: tuple[float, float] = (0.5, 0.99)
+    #: First guesses: the good kind's share, and how often a rule says "bad" on its own kind, on other bad kinds, on good.
+    good: float = 0.9
+    own: float = 0.5
+    other: float = 0.1
+    false_alarm: float = 0.001
+    #: Pseudo-counts: (bad, not bad) votes that a rule is taken to have cast on good and on bad kinds before any is seen.
+    good_votes: tuple[float, float] = (1.0, 1000.0)
+    bad_votes: tuple[float, float] = (1.0, 1.0)
     threshold: float = 0.5
 
 
@@ -71,46 +77,56 @@ def document_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def posterior(good: float, rates: dict[str, tuple[float, float]]) -> Column:
-    """P(good | votes) under independent rules; an abstaining rule says nothing."""
-    on_good, on_bad = F.lit(good), F.lit(1 - good)
-    for rule, (hit, alarm) in rates.items():
-        vote = F.col(rule)
-        on_good = on_good * F.when(vote == 0, F.lit(alarm)).when(vote == 1, F.lit(1 - alarm)).otherwise(F.lit(1.0))
-        on_bad = on_bad * F.when(vote == 0, F.lit(hit)).when(vote == 1, F.lit(1 - hit)).otherwise(F.lit(1.0))
-    return on_good / (on_good + on_bad)
+Model = dict[str, tuple[float, dict[str, float]]]
+
+
+def first_guess(s: Settings) -> Model:
+    """Kind -> (share, rule -> rate of "bad")."""
+    return {k: (s.good if k == "good" else (1 - s.good) / len(RULES), {r: s.false_alarm if k == "good" else s.own if k == r else s.other for r in RULES}) for k in KINDS}
 
 
-def estimate(votes: DataFrame, s: Settings = Settings()) -> tuple[float, dict[str, tuple[float, float]]]:  # noqa: B008
-    """(share of good documents, rule -> (hit, false alarm)) by expectation-maximisation; each round reads one summary row."""
-    patterns = materialise(votes.groupBy(*RULES).agg(F.count("*").cast("double").alias("n")).coalesce(1), "vote-patterns")
-    good, rates = s.good, dict.fromkeys(RULES, (s.hit, s.false_alarm))
+def likelihoods(model: Model) -> Column:
+    """An array with the joint probability of each kind and the votes in the array ``votes``; an abstaining rule says nothing."""
+    kinds = F.array(*(F.struct(F.lit(share).alias("share"), F.array(*(F.lit(rates[r]) for r in RULES)).alias("rates")) for share, rates in model.values()))
+    says = lambda rate, vote: F.when(vote == 0, rate).when(vote == 1, 1 - rate).otherwise(F.lit(1.0))
+    return F.transform(kinds, lambda k: F.aggregate(F.zip_with(k["rates"], "votes", says), k["share"], lambda a, x: a * x))
 
-    def within(value: float | None, was: float, low_high: tuple[float, float]) -> float:
-        return was if value is None else min(max(value, low_high[0]), low_high[1])
 
-    for _ in range(s.rounds):
-        weighed = patterns.withColumn("q", posterior(good, rates)).withColumns({"g": F.col("n") * F.col("q"), "b": F.col("n") * (1 - F.col("q"))})
-        sums = [F.try_divide(F.sum("g"), F.sum("n")).alias("good")]
-        for rule in RULES:
-            sums += [F.try_divide(F.sum(F.when(F.col(rule) == 0, F.col(x))), F.sum(F.when(F.col(rule).isNotNull(), F.col(x)))).alias(f"{rule}_{x}") for x in ("b", "g")]
-        row = weighed.agg(*sums).first()
-        good = within(row["good"], good, s.good_range)
-        rates = {r: (within(row[f"{r}_b"], rates[r][0], s.hit_range), within(row[f"{r}_g"], rates[r][1], s.alarm_range)) for r in RULES}
-    return good, rates
+def posteriors(model: Model) -> Column:
+    """An array with P(kind | votes) of each kind."""
+    return let(likelihoods(model), lambda p: let(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(p, lambda x: x / total)))
+
+
+def estimate(votes: DataFrame, s: Settings = Settings()) -> Model:  # noqa: B008
+    """Shares and rates by expectation-maximisation; each round reads a summary row for each kind and rule."""
+    patterns = materialise(votes.groupBy("votes").agg(F.count("*").cast("double").alias("n")).coalesce(1), "vote-patterns")
+    total = patterns.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+    model = first_guess(s)
+    for _ in range(s.rounds if total else 0):
+        kinds = patterns.select("n", "votes", F.posexplode(posteriors(model)).alias("kind", "p")).select("kind", (F.col("n") * F.col("p")).alias("m"), F.posexplode("votes").alias("rule", "vote"))
+        sums = kinds.groupBy("kind", "rule").agg(F.sum("m").alias("all"), F.coalesce(F.sum(F.when(F.col("vote") == 0, F.col("m"))), F.lit(0.0)).alias("bad"), F.coalesce(F.sum(F.when(F.col("vote").isNotNull(), F.col("m"))), F.lit(0.0)).alias("cast"))
+        cells = {(r["kind"], r["rule"]): r for r in sums.collect()}  # kinds times rules
+        model = {}
+        for k, kind in enumerate(KINDS):
+            prior = s.good_votes if kind == "good" else s.bad_votes
+            rates = {r: (cells[k, i]["bad"] + prior[0]) / (cells[k, i]["cast"] + sum(prior)) for i, r in enumerate(RULES)}
+            model[kind] = ((cells[k, 0]["all"] + 1) / (total + len(KINDS)), rates)
+    return model
 
 
 def apply_rules(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality.
 
-    A null text has no words and fails the base. Repeated rows each return a row and count each; extra columns are
-    ignored; an empty table gives an empty result.
+    ``quality`` is the posterior of the good kind; ``kept`` needs it to reach the threshold. A null text has no words and
+    fails the base; a null doc_id is a row like any other. Repeated rows each return a row and count each; extra columns
+    are ignored; an empty table gives an empty result.
     """
     counts = materialise(document_counts(docs), "rule-counts")
-    votes = counts.select("*", *(F.expr(sql).alias(rule) for rule, sql in RULES.items()))
-    good, rates = estimate(votes, s)
+    votes = counts.withColumn("votes", F.array(*(F.expr(sql) for sql in RULES.values())))
+    votes = votes.withColumn("good", F.element_at(posteriors(estimate(votes, s)), 1))
+    good = F.col("good")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return votes.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & (posterior(good, rates) >= s.threshold)).alias("kept"))
+    return votes.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & (good >= s.threshold)).alias("kept"), F.round(good, 6).alias("quality"))
 
 
 def rules_sql(s: Settings = Settings()) -> str:  # noqa: B008
@@ -118,19 +134,17 @@ def rules_sql(s: Settings = Settings()) -> str:  # noqa: B008
     space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     votes = ", ".join(f"{sql} AS {rule}" for rule, sql in RULES.items())
 
-    def bound(x: str, low_high: tuple[float, float], was: str) -> str:
-        return f"least(greatest(coalesce({x}, {was}), {low_high[0]!r}::DOUBLE), {low_high[1]!r}::DOUBLE)"
-
-    def side(p: str, start: str) -> str:
-        return " * ".join([start, *(f"CASE {r} WHEN 0 THEN {r}_{p} WHEN 1 THEN 1 - {r}_{p} ELSE 1 END" for r in RULES)])
-
-    names = ", ".join(["good", *(f"{r}_{x}" for r in RULES for x in "bg")])
-    first = ", ".join([f"{s.good!r}::DOUBLE", *(f"{s.hit!r}::DOUBLE, {s.false_alarm!r}::DOUBLE" for _ in RULES)])
-    q = f"({side('g', 'good')}) / ({side('g', 'good')} + {side('b', '(1 - good)')})"
-    means = [bound("sum(n * q) / sum(n)", s.good_range, "any_value(good)")]
-    for r in RULES:
-        for x, w, lim in (("b", "n * (1 - q)", s.hit_range), ("g", "n * q", s.alarm_range)):
-            means.append(bound(f"sum({w}) FILTER ({r} = 0) / nullif(sum({w}) FILTER ({r} IS NOT NULL), 0)", lim, f"any_value({r}_{x})"))
+    model = first_guess(s)
+    cells = [(k, r) for k in KINDS for r in RULES]
+    names = ", ".join([*(f"s_{k}" for k in KINDS), *(f"h_{k}_{r}" for k, r in cells)])
+    first = ", ".join(f"{x!r}::DOUBLE" for x in [*(model[k][0] for k in KINDS), *(model[k][1][r] for k, r in cells)])
+    joint = ", ".join(" * ".join([f"s_{k}", *(f"CASE {r} WHEN 0 THEN h_{k}_{r} WHEN 1 THEN 1 - h_{k}_{r} ELSE 1 END" for r in RULES)]) + f" AS p_{k}" for k in KINDS)
+    total = " + ".join(f"p_{k}" for k in KINDS)
+    means = [f"(sum(n * p_{k} / ({total})) + 1) / (sum(n) + {len(KINDS)})" for k in KINDS]
+    for k, r in cells:
+        bad, good = s.good_votes if k == "good" else s.bad_votes
+        share = f"n * p_{k} / ({total})"
+        means.append(f"(coalesce(sum({share}) FILTER ({r} = 0), 0) + {bad!r}) / (coalesce(sum({share}) FILTER ({r} IS NOT NULL), 0) + {bad + good!r})")
     return f"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words,
@@ -150,9 +164,9 @@ em(round, {names}) AS (
   SELECT 0, {first}
   UNION ALL
   SELECT any_value(round) + 1, {", ".join(means)}
-  FROM (SELECT p.*, em.*, {q} AS q FROM em, patterns p WHERE round < {s.rounds}) HAVING count(*) > 0
+  FROM (SELECT p.*, em.*, {joint} FROM em, patterns p WHERE round < {s.rounds}) HAVING count(*) > 0
 ),
 fitted AS (SELECT * FROM em WHERE round = {s.rounds}),
-judged AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {q} AS q FROM votes v, fitted)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= {s.threshold!r} AS kept FROM judged
+judged AS (SELECT *, p_good / ({total}) AS q FROM (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {joint} FROM votes v, fitted))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= {s.threshold!r} AS kept, round(q, 6) AS quality FROM judged
 """
