@@ -22,10 +22,12 @@ ROW = "_row"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")

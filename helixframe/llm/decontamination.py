@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import computed, materialise
+from helixframe.llm.common import ROW, computed, materialise, numbered
 
 WINDOW, NEEDED = 13, 11  # an agreement of 0.8 or more
 #: Offsets of the words that a seed reads; the two leave no pair of substitutions in WINDOW words uncovered.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
-#: Seeds of a benchmark up to this many are broadcast (32 bytes each); more are joined by a shuffle, with equal results.
+#: Seeds of a benchmark up to this many are broadcast (32 bytes each), with the items' words; of a larger benchmark the
+#: documents' seeds are shuffled (24 bytes each), and only documents with hits fetch their words again. Equal results.
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -33,13 +34,14 @@ def _seeds(words: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     return placed.select("*", F.explode(F.array(*hashes)).alias("seed")).where("seed is not null")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """A row for each document and benchmark item found in it: doc_id, item_id, item_words, matched_words, doc_start.
 
     ``matched_words`` counts the equal words on the best diagonal, ``doc_start`` is the word of the document where the
     item's first word falls on it (negative where the document begins within the item). An item of fewer than WINDOW
-    words must stand in the document word for word. Null or empty texts match nothing, items without words neither;
-    repeated rows give one row; extra columns are ignored; empty tables give an empty result.
+    words must stand in the document word for word. Null or empty texts match nothing, items without words neither, and
+    rows with a null doc_id or item_id are left out; of equal matches the first place counts; repeated rows give one row;
+    extra columns are ignored; empty tables give an empty result.
     """
     items = materialise(benchmark.where("item_id is not null").select("item_id", plain_words(F.col("text")).alias("words")).where(F.size("words") > 0).dropDuplicates(), "benchmark-words")
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect())  # below WINDOW: a dozen at most
@@ -48,12 +50,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole = [F.when(F.size("item_words") == n, F.xxhash64(F.lit(len(MASKS) + k), *(F.get("item_words", F.lit(o)) for o in range(n)))) for k, n in enumerate(short)]
     long_or_whole = (F.size("item_words") >= WINDOW) | (F.col("seed") == F.coalesce(*whole, F.lit(None).cast("long")))
     seeds = materialise(seeds.where(long_or_whole).select("seed", "item", "item_at").distinct(), "benchmark-seeds")
-    rows = seeds.count()
     lookup = items.select(F.col("item_id").alias("item"), F.col("words").alias("item_words"))
-    if rows <= BROADCAST_SEEDS:
-        seeds, lookup = F.broadcast(seeds), F.broadcast(lookup)
     words = computed(docs.where("doc_id is not null").select("doc_id", "text"), "words", plain_words(F.col("text"))).select("doc_id", "words")
-    hits = _seeds(words, masks).join(seeds, "seed").join(lookup, "item").withColumn("start", F.col("at") - F.col("item_at"))
+    if seeds.count() <= broadcast_seeds:
+        hits = _seeds(words, masks).join(F.broadcast(seeds), "seed").join(F.broadcast(lookup), "item").withColumn("start", F.col("at") - F.col("item_at"))
+    else:
+        words = numbered(words, "document-words")
+        starts = _seeds(words, masks).select(ROW, "at", "seed").join(seeds, "seed").select(ROW, "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+        hits = materialise(starts, "seed-hits").join(lookup, "item").join(words, ROW)
     low, high = F.greatest(F.lit(0), -F.col("start")), F.least(F.size("item_words"), F.size("words") - F.col("start"))
     equal = F.transform(F.sequence(low, high - 1), lambda j: F.when(F.get("item_words", j) == F.get("words", F.col("start") + j), 1).otherwise(0))
     hits = hits.select("doc_id", "item", F.size("item_words").alias("n"), "start", equal.alias("equal"))

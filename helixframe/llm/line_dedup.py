@@ -2,26 +2,27 @@
 
 The counts table tells for each line key in how many documents it stands; documents are added with +1 and removed with
 -1. A cuckoo filter per shard holds the keys that reach the threshold: keys enter and leave it as their count crosses
-the threshold, without a rebuild. A document's keys are first put to the filters, which rule out almost all of them,
-and what is left is verified against the counts.
+the threshold, without a rebuild. A document's keys are sent to their shard, where the filter rules out almost all of
+them, and what is left is verified against the counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import map_batches, materialise
 
-#: Filters go to all tasks up to this size in sum; beyond it every key is verified by the join alone, with equal results.
-FILTER_BYTES = 64 << 20
-
-#: Filters are sharded 256-fold: a key's shard is its digest's first byte.
+#: Keys wanted in a shard's filter: bounds a task's memory at any size of the corpus.
+SHARD_KEYS = 1 << 16
+#: Parts of a shard's probes, so that a line with a third of all rows is probed in many tasks.
+SALTS = 64
 
 _SLOTS = 4
 
@@ -39,16 +40,31 @@ class CuckooFilter:
         buckets = 1 << max(2, int(np.ceil(np.log2(max(1, len(digests)) / _SLOTS / 0.8))))
         while True:
             made = cls(buckets)
-            if all(made.insert(d) for d in digests):
+            if all(made.insert(d) for d in made._fill(digests)):
                 return made
             buckets *= 2
 
+    def _fill(self, digests: np.ndarray) -> np.ndarray:
+        """Put digests into an empty filter's free slots, all at once; returns those whose two buckets are full."""
+        tags, one = self._tags(digests), self._first(digests)
+        used, left = np.zeros(self.buckets, np.int64), np.arange(len(digests))
+        for buckets in (one, self._other(one, tags)):
+            order = left[np.argsort(buckets[left], kind="stable")]
+            own = buckets[order]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            slot = used[own] + np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))
+            fits = slot < _SLOTS
+            self.table[own[fits], slot[fits]] = tags[order[fits]]
+            used += np.bincount(own[fits], minlength=self.buckets)
+            left = order[~fits]
+        return digests[left]
+
     def _tags(self, digests: np.ndarray) -> np.ndarray:
         tags = digests[:, 8:10].copy().view("<u2").ravel()
         return np.where(tags == 0, 1, tags).astype(np.uint16)
 
     def _first(self, digests: np.ndarray) -> np.ndarray:
-        return (digests[:, 1:8].astype(np.uint64) @ (np.uint64(256) ** np.arange(7, dtype=np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        return (digests[:, 0:7].astype(np.uint64) @ (np.uint64(256) ** np.arange(7, dtype=np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
 
     def _other(self, bucket, tag):
         return bucket ^ (tag.astype(np.int64) * 0x5BD1E995 & (self.buckets - 1))
@@ -144,63 +160,80 @@ def update_counts(counts: DataFrame, added: DataFrame | None = None, removed: Da
     return parts.groupBy("digest").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
 
 
-def _shard() -> F.Column:
-    return F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
+def shards_for(n: int) -> int:
+    """Shards for ``n`` frequent keys: a power of two."""
+    return 1 << max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS))))
+
+
+def _shard(shards: int) -> F.Column:
+    """A key's shard: the last four bytes of its digest, which neither its bucket nor its tag reads."""
+    return F.pmod(F.conv(F.hex(F.substring("digest", 13, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
 def _rows(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
 
 
-def build_filters(counts: DataFrame, threshold: int) -> DataFrame:
+def build_filters(counts: DataFrame, threshold: int, shards: int) -> DataFrame:
     """(shard, filter): a cuckoo filter of each shard's keys with ``threshold`` documents or more."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": [group["shard"].iloc[0]], "filter": [CuckooFilter.of(_rows(group["digest"])).to_bytes()]})
 
-    frequent = counts.where(F.col("n_docs") >= threshold).select(_shard().alias("shard"), "digest")
+    frequent = counts.where(F.col("n_docs") >= threshold).select(_shard(shards).alias("shard"), "digest")
     return frequent.groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
-def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, threshold: int) -> DataFrame:
-    """The filters after keys crossed the threshold between the counts ``before`` and ``after``."""
+def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, threshold: int, shards: int) -> DataFrame:
+    """The filters after keys crossed the threshold between the counts ``before`` and ``after``; ``shards`` as built."""
     old, new = (c.where(F.col("n_docs") >= threshold).select("digest") for c in (before, after))
     change = old.join(new, "digest", "left_anti").withColumn("enters", F.lit(False)).unionByName(new.join(old, "digest", "left_anti").withColumn("enters", F.lit(True)))
 
     def apply(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = CuckooFilter.from_bytes(left["filter"].iloc[0]) if len(left) else CuckooFilter(4)
-        for digest in right["digest"][~right["enters"].astype(bool)]:
+        for digest in _rows(right["digest"][~right["enters"].astype(bool)]):
             held.delete(digest)
-        for digest in right["digest"][right["enters"].astype(bool)]:
+        for digest in _rows(right["digest"][right["enters"].astype(bool)]):
             if not held.insert(digest):
                 return pd.DataFrame({"shard": [key[0]], "filter": [None]})  # too full: the caller builds this shard anew
         return pd.DataFrame({"shard": [key[0]], "filter": [held.to_bytes()]})
 
-    change = change.withColumn("shard", _shard())
+    change = change.withColumn("shard", _shard(shards))
     updated = materialise(filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, "shard int, filter binary"), "filters")
     full = updated.where("filter is null").select("shard")
-    again = build_filters(after.withColumn("s", _shard()).join(F.broadcast(full), F.col("s") == F.col("shard"), "left_semi").select("digest", "n_docs"), threshold)
+    again = build_filters(after.withColumn("s", _shard(shards)).join(full, F.col("s") == F.col("shard"), "left_semi").select("digest", "n_docs"), threshold, shards)
     return updated.where("filter is not null").unionByName(again)
 
 
-def _probe(keys: DataFrame, filters: DataFrame, spark: SparkSession) -> DataFrame:
-    """The keys that the filters do not rule out."""
-    size = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-    if size > FILTER_BYTES:
-        return keys
-    held = spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in filters.collect()})
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests = _rows(batch.column("digest").to_pylist())
-        found = np.zeros(len(digests), bool)
-        shards = digests[:, 0]
-        for shard in np.unique(shards):
-            if data := held.value.get(int(shard)):
-                own = shards == shard
-                found[own] = CuckooFilter.from_bytes(data).contains(digests[own])
-        return batch.filter(pa.array(found))
+def probe(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The keys (doc_id, digest) that their shard's filter does not rule out.
 
-    return map_batches(keys, run, "doc_id long, digest binary", rows=65536)
+    Keys and filters are dealt by (shard, salt) and each filter is sorted before its keys, so a task holds one filter and
+    one batch of keys at a time, however many keys a shard has.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    asked = keys.select(_shard(shards).alias("shard"), part.alias("salt"), "doc_id", F.col("digest").alias("data"), F.lit(1).alias("order"))
+    held = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("long").alias("doc_id"), F.col("filter").alias("data"), F.lit(0).alias("order"))
+    dealt = asked.unionByName(held).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "order")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = (-1, -1), None
+        for batch in batches:
+            shard, salt, order = (batch.column(c).to_numpy() for c in ("shard", "salt", "order"))
+            edges = np.flatnonzero((shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (order[1:] == 0)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)], strict=True):
+                if start == end:
+                    continue
+                if (shard[start], salt[start]) != at:
+                    at, held = (shard[start], salt[start]), None
+                if order[start] == 0:
+                    held, start = CuckooFilter.from_bytes(batch.column("data")[start].as_py()), start + 1
+                if held is not None and start < end:
+                    own = batch.slice(start, end - start)
+                    found = pa.array(held.contains(_rows(own.column("data").to_pylist())))
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id").filter(found), own.column("data").filter(found)], ["doc_id", "digest"])
+
+    return dealt.select("shard", "salt", "order", "doc_id", "data").mapInArrow(run, "doc_id long, digest binary")
 
 
 def _kept(text: bytes | None, dropped: set[bytes]) -> tuple[int, int, bytes]:
@@ -226,9 +259,10 @@ def frequent_line_docs(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """(doc_id, dropped): the digests that each document loses, for documents that lose any."""
     keys = materialise(document_keys(docs), "line-keys")
     counts = materialise(count_keys(keys), "line-counts")
-    filters = materialise(build_filters(counts, threshold), "line-filters")
-    frequent = counts.where(F.col("n_docs") >= threshold).select("digest")
-    hits = _probe(keys, filters, docs.sparkSession).join(frequent, "digest")
+    frequent = materialise(counts.where(F.col("n_docs") >= threshold), "frequent-lines")
+    shards = shards_for(frequent.count())
+    filters = materialise(build_filters(frequent, threshold, shards), "line-filters")
+    hits = probe(keys, filters, shards).join(frequent.select("digest"), "digest")
     return hits.groupBy("doc_id").agg(F.collect_set("digest").alias("dropped"))  # at most a document's lines
 
 
@@ -236,8 +270,8 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, with_text: bool = False) -
     """Per document: doc_id, n_lines (before), n_dropped, kept_sha256 (and the kept text where ``with_text``).
 
     Lines whose key has at least one character and stands in ``threshold`` documents or more go, everywhere. A null or
-    empty text is one empty line and stays. Every row counts as a document, repeated rows too; extra columns are
-    ignored; an empty table gives an empty result.
+    empty text is one empty line and stays. Every row counts as a document, whether its doc_id is null or repeated; extra
+    columns are ignored; an empty table gives an empty result.
     """
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
 

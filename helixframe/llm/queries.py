@@ -23,22 +23,24 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 LINE_DEDUP_SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
-  FROM documents
+  FROM numbered
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), frequent AS (
-  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
 ), marked AS (
   SELECT k.*, f.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN frequent f ON k.key = f.key
 )
 SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 
@@ -90,7 +92,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(read(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
+    """The cache is the folder in helixframe.token.cache, kept between runs; where that is unset, a new one for each run."""
+    return count_tokens(read(spark, sf_dir, "documents"), BYTE_BPE, limit=512, cache=spark.conf.get("helixframe.token.cache", None))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

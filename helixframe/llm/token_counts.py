@@ -7,6 +7,7 @@ only the distinct contents without a stored count are encoded, and their counts
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +37,34 @@ def _encode(texts: DataFrame, path: str, version: str) -> DataFrame:
     return map_batches(texts, counts, CACHE_SCHEMA)
 
 
-def cache_exists(spark: SparkSession, cache: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """The counts of one tokenizer, a row for each digest however often it was appended; None where there is no cache yet."""
+    try:
+        found = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    own = found.where(F.col("tokenizer") == version)
+    return own.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, cache: str | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
-    ``cache`` is the Parquet folder of stored counts; without one, a new folder in the shared directory is filled.
-    The content is normalised only where that leaves the count alone: a null text counts as the empty one (0 tokens).
-    Repeated rows and texts share one cache entry; extra columns are ignored; an empty table gives an empty result.
+    ``cache`` is the Parquet folder of stored counts, which a later call finds again; without one, a new folder in the
+    shared directory is filled. Counts appended twice (a retry, two jobs at once) count once. The content is normalised
+    only where that leaves the count alone: a null text counts as the empty one (0 tokens). Repeated rows and texts share
+    one cache entry and each return a row, null ids too; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     cache = cache or new_table_path(spark, "token-cache")
     version = tokenizer_digest(tokenizer_path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-    missing = keyed
-    if cache_exists(spark, cache):
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest")
-        missing = keyed.join(known, "digest", "left_anti")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    known = stored_counts(spark, cache, version)
+    missing = keyed if known is None else keyed.join(known.select("digest"), "digest", "left_anti")
     distinct = missing.groupBy("digest").agg(F.first("text").alias("text"))
     _encode(distinct, tokenizer_path, version).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+    stored = stored_counts(spark, cache, version)
     return keyed.select("doc_id", "digest").join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

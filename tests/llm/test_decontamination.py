@@ -18,8 +18,9 @@ def test_planted_passages(spark):
     texts = {1: fill + item + fill, 2: fill + near, 3: fill + far + fill, 4: item[7:] + fill, 5: item[8:] + fill, 6: fill, 7: ["so", "short", "an", "item"] + fill, 8: ["so", "short", "x", "item"]}
     docs = [Row(doc_id=i, text=", ".join(w).upper(), item=1, words="x", seed=3) for i, w in texts.items()] + [Row(doc_id=9, text=None, item=1, words="", seed=3), Row(doc_id=10, text="", item=1, words="", seed=3)]
     bench = [Row(item_id=1, text=" ".join(item), start=1), Row(item_id=2, text="So short: an item", start=1), Row(item_id=3, text=None, start=0), Row(item_id=4, text="", start=0)]
-    got = sorted(map(tuple, contaminated(spark.createDataFrame(docs + docs[:2]), spark.createDataFrame(bench + bench[:1])).collect()))
-    assert got == [(1, 1, 20, 20, 30), (2, 1, 20, 17, 30), (4, 1, 20, 13, -7), (7, 2, 4, 4, 0)]
+    for most in (1_000_000, 0):  # broadcast, and shuffled as for a large benchmark
+        got = sorted(map(tuple, contaminated(spark.createDataFrame(docs + docs[:2]), spark.createDataFrame(bench + bench[:1]), broadcast_seeds=most).collect()))
+        assert got == [(1, 1, 20, 20, 30), (2, 1, 20, 17, 30), (4, 1, 20, 13, -7), (7, 2, 4, 4, 0)]
 
 
 def test_empty_tables(spark):

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from helixframe.llm.line_dedup import CuckooFilter, _rows, build_filters, count_keys, dedup_lines, document_keys, update_counts, update_filters
+from helixframe.llm.line_dedup import SHARD_KEYS, CuckooFilter, _rows, build_filters, count_keys, dedup_lines, document_keys, probe, shards_for, update_counts, update_filters
 
 
 def digests(n, tag):
@@ -55,15 +55,30 @@ def test_deleting_documents_reverses_their_insertion(spark):
     back = update_counts(more, removed=second)
     as_set = lambda df: {(bytes(r[0]), r[1]) for r in df.collect()}
     assert as_set(back) == as_set(base) != as_set(more)
-    filters = build_filters(base, 4)
-    grown = update_filters(filters, base, more, 4)
-    shrunk = update_filters(grown, more, back, 4)
+    filters = build_filters(base, 4, 8)
+    grown = update_filters(filters, base, more, 4, 8)
+    shrunk = update_filters(grown, more, back, 4, 8)
     for counts, held in ((more, grown), (back, shrunk)):
-        table = {r["shard"]: CuckooFilter.from_bytes(r["filter"]) for r in held.collect()}
-        for r in counts.where(F.col("n_docs") >= 4).collect():
-            d = _rows([r["digest"]])
-            assert table[int(d[0, 0])].contains(d).all()
+        wanted = counts.where(F.col("n_docs") >= 4).select(F.lit(1).cast("long").alias("doc_id"), "digest")
+        assert probe(wanted, held, 8).count() == wanted.count() > 0
+    assert probe(second, filters, 8).count() < second.count()
 
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_with_null_and_repeated_ids_count_each(spark):
+    docs = spark.createDataFrame([(None, "menu\na"), (None, "menu\nb"), (7, "menu\nc"), (7, "menu\nc"), (8, "d")], "doc_id long, text string")
+    got = sorted((r["text"], r["n_dropped"]) for r in dedup_lines(docs, threshold=4, with_text=True).collect())
+    assert got == [("a", 1), ("b", 1), ("c", 1), ("c", 1), ("d", 0)]
+
+
+def test_shards_follow_the_number_of_keys():
+    assert [shards_for(n) for n in (0, SHARD_KEYS, SHARD_KEYS + 1, 9 * SHARD_KEYS)] == [1, 1, 2, 16]
+
+
+def test_shards_give_equal_results(spark, monkeypatch):
+    monkeypatch.setattr("helixframe.llm.line_dedup.SHARD_KEYS", 1)
+    rows = dedup_lines(docs_of(spark, TEXTS), threshold=2).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows} == brute(TEXTS, 2)
