@@ -1,15 +1,14 @@
 """License scan by MinHash bands over overlapping windows, in DataFrame functions only (operator 10).
 
-Texts and license templates become sequences of 5-word shingle hashes. Templates of c to 2c - 1 shingles, c a power of
-two, form a class; for each class a text is cut into windows of 2c - 2 + c/2 shingles, c/2 apart, so that every run as
-long as a template of the class lies whole in one. Windows and templates are signed by MinHash with one permutation:
-the hashes are dealt to BANDS bins by their first bits, the least hash of a bin is a band's value, and a window meets a
-template where a band agrees.
-
-A window and a template with 0.8 of its shingles have a Jaccard similarity of 0.29 or more. Where all bins are filled they
-miss each other with a probability of at most 0.71^32, below 0.0001; in small windows most shingles have a bin of their
-own, and a match is missed only if every common shingle has a lesser neighbour there: below 0.0003 for each class. A
-window that met a template is then compared with it exactly.
+Texts and license templates become sequences of 5-word shingle hashes. Templates of c to 2c - 1 shingles form a class,
+for c a power of two (all short ones are of the class 8); for each class a text is cut into overlapping windows, so that
+every run as long as a template of the class lies whole in one. Windows and templates are signed by their BANDS least
+hashes (MinHash with one permutation), each a band's value, and a window meets a template where they share one.
+
+A window and a template with 0.8 of its shingles have a Jaccard similarity of 0.29 or more, so each of the BANDS least
+hashes of both together is shared with that probability, and such a pair misses each other with at most 0.71^32, below
+0.0001; windows of the class 8 are signed by all they hold and miss none. A window that met a template is then compared
+with it exactly. Signatures are made within generated code, a window at a time.
 """
 
 from __future__ import annotations
@@ -17,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import computed, let, materialise
+from helixframe.llm.common import computed, materialise
 from helixframe.llm.decontamination import plain_words
 
 WORDS = 5
-BANDS = 32  # a power of two
+BANDS = 32
+#: The class of all templates of fewer than twice as many shingles.
+LEAST = 8
 CONTAINMENT = 0.8
 #: Band values of templates looked up in one pass over the documents: bounds what is broadcast; more are taken in blocks.
 BLOCK = 1_000_000
@@ -76,20 +77,23 @@ def _shingles(df: DataFrame) -> DataFrame:
 
 
 def size_class(m: int) -> int:
-    """The power of two c with c <= m < 2c."""
-    return 1 << (m.bit_length() - 1)
+    """The power of two c with c <= m < 2c, LEAST at least."""
+    return max(LEAST, 1 << (m.bit_length() - 1))
 
 
 def window_shape(c: int) -> tuple[int, int]:
     """(step, width) of the windows for templates of the class ``c``."""
-    step = max(1, c // 2)
+    step = c if c == LEAST else c // 2
     return step, 2 * c - 2 + step
 
 
 def signature(values: Column) -> Column:
-    """The least hash of each bin that has any: a bin's hashes stand together in their order."""
-    bin_of = lambda h: F.shiftright(h, 64 - (BANDS.bit_length() - 1))
-    return let(F.sort_array(values), lambda own: F.filter(own, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(own, i - 1)))))
+    return F.slice(F.sort_array(values), 1, BANDS)
+
+
+def _key() -> Column:
+    """A band's value, apart for each class."""
+    return F.col("low").bitwiseXOR(F.col("c").cast("long"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -100,24 +104,24 @@ def scan(docs: DataFrame, templates: DataFrame, block: int = BLOCK) -> DataFrame
     null doc_id are left out. Repeated rows give one row; extra columns are ignored; empty tables give an empty result.
     """
     m = F.size("shingles")
-    c = F.pow(F.lit(2), F.floor(F.log2(m + 0.5))).cast("int")
+    c = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.floor(F.log2(m + 0.5))).cast("int"))
     wanted = materialise(_shingles(templates.select("license_id", "text")).where("shingles is not null").select("license_id", F.array_distinct("shingles").alias("template"), c.alias("c")).distinct(), "license-templates")
     classes = sorted(r[0] for r in wanted.select("c").distinct().collect())  # 20 for templates of a million words
     if not classes:
         return docs.sparkSession.createDataFrame([], "doc_id long, license_id string, containment double, first_word long")
-    bands = materialise(wanted.select("license_id", "c", F.explode(signature(F.col("template"))).alias("low")).distinct(), "license-bands")
+    bands = materialise(wanted.select("license_id", "c", F.explode(signature(F.col("template"))).alias("low")).select("license_id", _key().alias("key")).distinct(), "license-bands")
     blocks = -(-bands.count() // block)
     rows = _shingles(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where("shingles is not null").select("doc_id", "shingles")
     shapes = F.array(*(F.struct(F.lit(c).alias("c"), *(F.lit(x).alias(n) for x, n in zip(window_shape(c), ("step", "width"), strict=True))) for c in classes))
     rows = rows.select("doc_id", "shingles", F.explode_outer(shapes).alias("s")).select("doc_id", "shingles", "s.*")
     last = F.greatest(F.lit(0), F.ceil((F.size("shingles") - F.col("width")) / F.col("step")).cast("int"))
-    signed = F.transform(F.sequence(F.lit(0), last), lambda k: signature(F.slice("shingles", k * F.col("step") + 1, F.col("width"))))
-    rows = computed(rows, "signed", signed).select("doc_id", "shingles", "c", "step", "width", F.posexplode_outer("signed").alias("k", "own"))
-    rows = rows.select("doc_id", "shingles", "c", "width", (F.col("k") * F.col("step")).alias("start"), F.explode_outer("own").alias("low"))
+    rows = rows.select("doc_id", "shingles", "c", "step", "width", F.explode_outer(F.sequence(F.lit(0), last)).alias("k")).withColumn("start", F.col("k") * F.col("step"))
+    rows = rows.withColumn("own", signature(F.slice("shingles", F.col("start") + 1, F.col("width"))))
+    rows = rows.select("doc_id", "shingles", "c", "width", "start", F.explode_outer("own").alias("low")).select("doc_id", "shingles", "width", "start", _key().alias("key"))
 
     def found(part: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("license_id"), F.lit(blocks)) == part
-        met = rows.join(F.broadcast(bands.where(mine)), ["c", "low"])
+        met = rows.join(F.broadcast(bands.where(mine)), "key")
         met = met.select("doc_id", "license_id", "start", F.slice("shingles", F.col("start") + 1, F.col("width")).alias("window"))
         met = met.join(F.broadcast(wanted.where(mine).select("license_id", "template")), "license_id")
         shared = F.size(F.array_intersect("template", "window")) / F.size("template")
@@ -140,7 +144,7 @@ WITH t AS (SELECT license_id, {words} AS w FROM (VALUES {values}) AS v(license_i
 ts AS (SELECT license_id, len(w) - {WORDS - 1} AS m, unnest(range(1, len(w) - {WORDS - 2})) AS i, w FROM t WHERE len(w) >= {WORDS}),
 tsh AS (SELECT DISTINCT license_id, m, array_to_string(w[i:i + {WORDS - 1}], ' ') AS s FROM ts),
 tn AS (SELECT license_id, count(*) AS n FROM tsh GROUP BY 1),
-tc AS (SELECT DISTINCT license_id, c, greatest(1, c // 2) AS step, 2 * c - 2 + greatest(1, c // 2) AS width FROM (SELECT license_id, (2 ** floor(log2(m + 0.5)))::BIGINT AS c FROM tsh)),
+tc AS (SELECT DISTINCT license_id, c, step, 2 * c - 2 + step AS width FROM (SELECT *, CASE WHEN c = {LEAST} THEN c ELSE c // 2 END AS step FROM (SELECT license_id, greatest({LEAST}, (2 ** floor(log2(m + 0.5)))::BIGINT) AS c FROM tsh))),
 d AS (SELECT doc_id, {words} AS w FROM documents),
 dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
 dsh AS (SELECT doc_id, i, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, WORDS))}) AS s FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
