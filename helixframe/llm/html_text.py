@@ -9,6 +9,8 @@ function; Spark deals the pages to tasks.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
@@ -19,8 +21,10 @@ from helixframe.llm.common import map_batches
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object xmp".split())
-BOILERPLATE = frozenset("nav footer aside form button select dialog menu head fieldset".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object xmp".split())
+#: Of these one without an end tag takes the rest of the page; any other RAW tag without one is left out alone.
+TO_THE_END = frozenset("script style textarea title xmp".split())
+BOILERPLATE = frozenset("nav footer aside form button select dialog menu head annotation annotation-xml".split())
 BLOCKS = frozenset("address article blockquote body caption dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
@@ -35,91 +39,123 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}),
 }
 
-#: Words in class, id or role that mark what is not the article.
-_UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|complementary|comments?|disqus|replies|respond|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|contentinfo|masthead|header|topbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|widget|tags|byline)(?:$|[\s_-])",
-    re.I,
+#: Words in class, id or role that mark what is not the article, wherever they stand in a name (comments-list).
+_UNLIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promoted cookie cookies consent gdpr popup modal overlay sidebar complementary comment comments disqus "
+    "menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo masthead topbar sharing newsletter subscribe signup login toolbar pagination pager widget recommended".split()
 )
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words that do so only in a name of such words alone (related, related-posts; but not related-work, content-header).
+_ALONE = frozenset("banner notice notices alert side header share social related search tags byline replies respond".split())
+_BESIDE = _UNLIKELY | _ALONE | frozenset("list box bar section area wrap wrapper container block inner item items links posts articles stories pages buttons icons site page main top bottom left right global more form".split())
+#: Words that turn the meaning of the next (no-sidebar: a layout's name).
+_TURNS = frozenset("no not has with without hide show".split())
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+def _unlikely(names: str) -> bool:
+    for name in re.split(r"\s+", names.lower()):
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        for k, w in enumerate(words):
+            if w in _UNLIKELY and not (k and words[k - 1] in _TURNS):
+                return True
+        if any(w in _ALONE for w in words) and all(w in _BESIDE for w in words):
+            return True
+    return False
+
+
 class Element:
-    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "linked", "commas", "named")
+    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "linked", "commas", "named", "block", "article")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.parts: list[Element | str] = []
         self.points, self.chars, self.linked, self.commas, self.named = 0.0, 0, 0, 0, False
+        self.article: bool = tag in ("article", "main") or (parent is not None and parent.article)
+        #: The nearest block at or above.
+        self.block = self if parent is None or tag in BLOCKS or tag in ("button", "object") else parent.block
+
+
+class _Open:
+    """The open elements, with the depths of each tag: every step takes constant or logarithmic time at any depth."""
+
+    def __init__(self, root: Element) -> None:
+        self.nodes, self.depths = [root], {}
+
+    def push(self, node: Element) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The depth of the innermost of ``tags``; 0 if none is open."""
+        return max((own[-1] for t in tags if (own := self.depths.get(t))), default=0)
+
+    def outermost(self, tags, above: int) -> int:
+        """The depth of the outermost of ``tags`` within the element at the depth ``above``; 0 if there is none."""
+        found = [own[k] for t in tags if (own := self.depths.get(t)) and (k := bisect_right(own, above)) < len(own)]
+        return min(found, default=0)
 
 
 def parse(html: str) -> tuple[Element, list[Element]]:
-    """The root and all elements in page order."""
+    """The root and all elements in page order, in time linear in the page but for a logarithm."""
     root = Element("html", None, False)
-    every, at, here = [root], 0, root
-
-    def close(tags: set[str], within: set[str]) -> None:
-        nonlocal here
-        node, found = here, None
-        while node.parent is not None and node.tag not in within:
-            if node.tag in tags:
-                found = node
-            node = node.parent
-        if found is not None:
-            here = found.parent
-
+    every, at, up, endless = [root], 0, _Open(root), set()
     while m := _MARKUP.search(html, at):
+        here = up.nodes[-1]
         if m.start() > at:
             here.parts.append(html[at : m.start()])
         at, tag = m.end(), (m[2] or "").lower()
-        if not tag or tag == "html":
+        if not tag or tag == "html" or not m[4]:  # a tag that the page's end cut off says nothing
             continue
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if depth := up.last((tag,)):
+                up.cut(depth)
             elif tag == "br":
                 here.parts.append(" ")
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+        alone = m[3].rstrip().endswith("/")
+        if tag in RAW and not (alone and tag == "svg"):
+            end = None if tag in endless else _end_of(tag).search(html, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(tag)
+                at = len(html) if tag in TO_THE_END else at
             continue
-        if tag in BLOCKS:
-            close({"p"}, {"table", "button", "object"} | (BLOCKS - {"p"}))
+        if tag in BLOCKS and here.block.tag == "p":
+            up.cut(up.last(("p",)))
         if tag in ENDS:
-            close(*ENDS[tag])
+            ended, within = ENDS[tag]
+            if depth := up.outermost(ended, up.last(within)):
+                up.cut(depth)
+        here = up.nodes[-1]
         if tag in VOID:
             here.parts.append(Element("hr", here, False) if tag == "hr" else " ")
             continue
-        inside = here.dropped or tag in BOILERPLATE or (tag == "header" and not _within(here, ("article", "main")))
+        inside = here.dropped or tag in BOILERPLATE or (tag == "header" and not up.last(("article", "main")))
         named = False
         if not inside and m[3] and tag not in ("body", "article", "main"):
             names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3]))
-            named, inside = bool(names and _UNLIKELY.search(names)), bool(_HIDDEN.search(m[3]))
+            named, inside = bool(names and _unlikely(names)), bool(_HIDDEN.search(m[3]))
         node = Element(tag, here, inside)
         node.named = named
         here.parts.append(node)
         every.append(node)
-        if not m[3].rstrip().endswith("/") or tag in BLOCKS or tag == "a":
-            here = node
+        if not alone or tag in BLOCKS or tag == "a":
+            up.push(node)
     if at < len(html):
-        rest = html[at:]
-        cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page's end cut off
-        here.parts.append(rest[: cut.start()] if cut else rest)
+        up.nodes[-1].parts.append(html[at:])
     return root, every
 
 
-def _within(node: Element | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
 
 
 def _drop_named(every: list[Element]) -> bool:
@@ -209,7 +245,8 @@ def _blocks(node: Element, out: list[list[str]]) -> None:
 
 
 def _link_list(node: Element) -> bool:
-    return node.tag in ("ul", "ol", "div", "section") and node.chars > 0 and node.linked >= 0.9 * node.chars and sum(1 for p in node.parts if not isinstance(p, str)) > 2
+    """A list of bare links: a menu, unless it stands in an article or main, where it may be the article's references."""
+    return node.tag in ("ul", "ol", "div", "section") and node.chars > 0 and node.linked >= 0.9 * node.chars and sum(1 for p in node.parts if not isinstance(p, str)) > 2 and not node.article
 
 
 def _siblings(best: Element) -> list[Element]:
@@ -258,7 +295,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points).
 
     A null or empty page, or one without text, gives an empty text. Repeated rows each return a row; extra columns are
-    ignored; an empty table gives an empty result. Depth and length of a page are unbounded: no recursion.
+    ignored; an empty table gives an empty result. Depth and length of a page are unbounded: no recursion, and hostile markup takes
+    no more than time in proportion.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,3 +1,7 @@
+import random
+import time
+from html import escape
+
 from pyspark.sql import Row
 
 from helixframe.llm.html_text import extract, main_text
@@ -51,3 +55,42 @@ def test_table(spark):
     got = extract(spark.createDataFrame(rows)).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, len(main_text(PAGE)), len(main_text(PAGE))]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+ARTICLE = "<body><nav><a href=1>x</a></nav><article><h1>Title</h1><p>One, two, and three.</p>{}<p>Last, not least.</p></article><footer>f</footer></body>"
+
+
+def test_what_stands_in_an_article_stays():
+    for part, text in {
+        '<svg class="i"/>': "", "<svg><text>drawn</text></svg>": "", "<iframe src=x><p>after</p>": "after", "<script>x</script >": "",
+        "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>": "So x=2 holds",
+        "<ul><li><a href=1>Ref one</a></li><li><a href=2>Ref two</a></li><li><a href=3>Ref three</a></li></ul>": "Ref one\n\nRef two\n\nRef three",
+        "<fieldset><p>Field</p></fieldset>": "Field", '<section class="related-work"><p>Others did.</p></section>': "Others did.", '<section class="related-posts"><p>Others did.</p></section>': "",
+        '<div class="content-header"><h2>Head</h2></div>': "Head", '<div class="comments-list"><p>Nice, I say.</p></div>': "", "<p title='it's'>Quote</p>": "Quote", "<p>1 < 2 & 3</p>": "1 < 2 & 3",
+    }.items():
+        assert main_text(ARTICLE.format(part)) == "\n\n".join(x for x in ("Title", "One, two, and three.", text, "Last, not least.") if x), part
+
+
+def test_hostile_pages_take_time_in_proportion():
+    for page in ("<a '" * 250_000, "<a ='>' " * 120_000, "<i>" * 90_000 + "</x>" * 90_000, "<div>" * 60_000 + "<td>" * 60_000, "<td><table>" + "<div>" * 60_000 + "<td>" * 60_000, "<iframe>" * 120_000, "<!" * 400_000, "<p>" + "<i>" * 90_000 + "<p>" * 90_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 10, page[:20]  # a quadratic reading takes minutes
+
+
+def test_planted_articles():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgé<&") for _ in range(rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ", and so on."
+    shown = lambda t: "".join(f"<b>{escape(w)}</b>" if rng.random() < 0.2 else f"{escape(w)}<!-- no -->" if rng.random() < 0.1 else escape(w) for w in t.replace(" ", "\0 \0").split("\0"))
+    around = ["<nav><ul><li><a href=/>Home</a><li><a href=/b>B, b</a></ul></nav>", "<header><h2>Site, name</h2></header>", "<aside><p>Side, side, and side.</p></aside>", "<div class=cookie-banner><p>Cookies, many.</p></div>", "<footer><p>Foot, foot.</p></footer>", "<form><p>Mail, please.</p></form>", "<script>var a='<p>';</script>", "<div id=comments><p>So nice, so very nice.</p></div>", "<div class='ad ad-top'><p>Buy, buy.</p></div>"]
+    for k in range(150):
+        blocks, html = [], ""
+        for _ in range(rng.randint(3, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "blockquote", "pre", "li"])
+            text = sentence(rng.randint(3, 40))
+            blocks.append(text)
+            html += f"<ul><li>{shown(text)}</ul>" if kind == "li" else f"<{kind}>{shown(text)}</{kind}>"
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><div class=post>{}</div></main>", "<div class='has-sidebar'><article class=entry>{}</article></div>"])
+        before, after = (" ".join(rng.sample(around, rng.randint(0, 5))) for _ in range(2))
+        assert main_text(f"<html><body>{before}{wrap.format(html)}{after}</body></html>") == "\n\n".join(blocks), k
