@@ -17,6 +17,9 @@ SPACE = "\\x20\\x09-\\x0D"
 #: Rows of one Arrow batch: bounds a Python worker's memory on long texts.
 BATCH_ROWS = 1024
 
+#: Row numbers (8 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
+
 #: Column of ``numbered``.
 ROW = "_row"
 
@@ -49,6 +52,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone``: keys go to all tasks up to BROADCAST_KEYS, rows are shuffled beyond it."""
+    gone = materialise(gone.select(key).distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df`` (at most ``rows`` rows each)."""
 

@@ -109,8 +109,8 @@ def _segments(plan: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, in
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is a piece of the end id alone. Repeated rows are packed as often as they occur. Extra
-    columns are ignored; an empty table gives an empty result.
+    A null or empty text is a piece of the end id alone. Repeated rows are packed as often as they occur, rows with a
+    null doc_id like any other. Ties go by doc_id and piece. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, tokenizer_path, end_id, capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")), "pieces")
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
     ranked = pieces.withColumn("rank", rank).join(cells.select("length", "bucket", "before"), ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
-    # The plan has at most a few segments a length, whatever the corpus: safe to broadcast.
+    # The plan's segments follow from the histogram's at most ``capacity`` lengths, not from the number of documents.
     placed = ranked.join(F.broadcast(segments), ["length"]).where((F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank1")))
     place = F.col("rank") - F.col("rank0")
     return placed.select(

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ROW, map_batches, materialise, numbered
+from helixframe.llm.common import ROW, map_batches, materialise, numbered, without
 
 #: Fingerprints wanted in a subtrie: bounds a task's memory at any size of the corpus.
 SUBTRIE = 4096
@@ -182,20 +182,22 @@ def _rooted(prints: DataFrame, first: Column) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id, with all its columns.
 
-    A null doc_id counts as larger than any other; of several rows with the smallest one stays.
+    A null doc_id counts as larger than any other; of several rows with the smallest one stays. Null and empty texts have
+    fingerprint zero and are one group; extra columns stay; an empty table gives an empty result.
     """
     rows = numbered(docs, "rows")
     prints = materialise(fingerprints(rows, ROW), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
     chosen = _rooted(prints, order).groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(chosen, ROW, "left_semi").select(docs.columns)
+    return without(rows, prints.select(ROW).join(chosen, ROW, "left_anti"), ROW).select(docs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
     A text that is null or has no words has fingerprint zero and links like any other. Repeated rows each return a row;
-    extra columns are ignored; an empty table gives an empty result.
+    extra columns are a null doc_id is a row like any other and names a component only where it has no other id; an empty table
+    gives an empty result.
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     rooted = _rooted(prints, F.col("doc_id"))
