@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import queries as llm
-from helixframe.llm.common import ROW, materialise, numbered, read
+from helixframe.llm.common import ROW, materialise, numbered, read, without
 from helixframe.llm.decontamination import contaminated
 from helixframe.llm.line_dedup import without_frequent_lines
 from helixframe.llm.packing import pack
@@ -20,28 +20,48 @@ from helixframe.llm.simhash import representatives
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text gets the score of the bias; without labels every row stays. Repeated rows go or stay together,
+    null ids like any other row; an empty table stays empty.
+    """
     return accepted(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; documents stay, even if nothing is left of them."""
+    """Lines found in ten documents or more go; documents stay, even if nothing is left of them.
+
+    A null text stays null and has no n_chars; an empty one stays. Every row counts as a document, repeated rows and
+    null ids too; an empty table stays empty.
+    """
     return without_frequent_lines(docs, threshold=10).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Null ids come last, and of rows that tie one stays; texts without words are one group; an empty table stays empty.
+    """
     return representatives(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Rows are judged by their own text, null and repeated ids too; null and empty texts hold nothing and stay; without a
+    benchmark all rows stay; an empty table stays empty.
+    """
     rows = numbered(docs, "rows")
     found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").select(docs.columns)
+    return without(rows, found.select(F.col("doc_id").alias(ROW)), ROW).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of at most 4096 tokens.
+
+    A null or empty text is a piece of the end id alone; repeated rows and null ids are packed like any other; an empty
+    table gives no pieces.
+    """
     return pack(docs, llm.WORD_BPE, end_id=1, capacity=4096)
 
 
