@@ -196,8 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
     A text that is null or has no words has fingerprint zero and links like any other. Repeated rows each return a row;
-    extra columns are a null doc_id is a row like any other and names a component only where it has no other id; an empty table
-    gives an empty result.
+    a null doc_id is a row like any other, and a component is named null only where it has no other id; extra columns
+    are ignored; an empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     rooted = _rooted(prints, F.col("doc_id"))
