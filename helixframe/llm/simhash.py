@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import ROW, map_batches, materialise, numbered, without
 
-#: Fingerprints wanted in a subtrie: bounds a task's memory at any size of the corpus.
-SUBTRIE = 4096
+#: Fingerprints wanted in a subtrie, and how many make it hot: families of near copies share their first bits. A hot one
+#: is dealt again by all 32 bits of the upper half, so a task holds what shares these but for one bit.
+SUBTRIE, HOT = 4096, 1 << 16
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE = 256 * np.arange(8)
@@ -108,26 +109,30 @@ def trie_labels(values: np.ndarray, roots: list[tuple[int, int, int, int, int]],
     return label
 
 
-def _subtrie_links(prefix: int):
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        values = group["value"].to_numpy(np.int64).view(np.uint64)
-        order = np.lexsort((values, group["guest"].to_numpy()))
-        values, guest = values[order], group["guest"].to_numpy()[order]
-        home = int((~guest).sum())
-        roots = [(0, home, 0, home, 0)] if home else []
-        if home and home < len(values):
-            top = values[home:] >> np.uint64(64 - prefix)
-            starts = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(top)]]) + home
-            roots += [(0, home, int(s), int(e), 1) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-        if not roots:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        label = trie_labels(values, roots, prefix)
-        linked = label != np.arange(len(values))
-        if group["turned"].iloc[0]:
-            values = (values << np.uint64(32)) | (values >> np.uint64(32))
-        return pd.DataFrame({"a": values.view(np.int64)[linked], "b": values.view(np.int64)[label[linked]]})
-
-    return links
+def _subtrie_links(group: pd.DataFrame) -> pd.DataFrame:
+    prefix = int(group["depth"].iloc[0])
+    values = group["value"].to_numpy(np.int64).view(np.uint64)
+    order = np.lexsort((values, group["guest"].to_numpy()))
+    values, guest = values[order], group["guest"].to_numpy()[order]
+    home = int((~guest).sum())
+    roots = [(0, home, 0, home, 0)] if home else []
+    if home and home < len(values):
+        top = values[home:] >> np.uint64(64 - prefix)
+        starts = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(top)]]) + home
+        roots += [(0, home, int(s), int(e), 1) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+    if not roots:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    label = trie_labels(values, roots, prefix)
+    linked = label != np.arange(len(values))
+    if group["turned"].iloc[0]:
+        values = (values << np.uint64(32)) | (values >> np.uint64(32))
+    return pd.DataFrame({"a": values.view(np.int64)[linked], "b": values.view(np.int64)[label[linked]]})
+
+
+def _visits(first: int, last: int) -> Column:
+    """The column ``value`` with each of its bits ``first`` to ``last`` - 1 that is set put out: where it is a guest."""
+    bits = [F.lit(1 << (63 - k)) if k else F.lit(-(1 << 63)) for k in range(first, last)]
+    return F.filter(F.array(*(F.when(F.col("value").bitwiseAND(b) != 0, F.col("value").bitwiseXOR(b)) for b in bits)), lambda x: x.isNotNull())
 
 
 def fingerprint_links(distinct: DataFrame, rows: int) -> DataFrame:
@@ -135,11 +140,15 @@ def fingerprint_links(distinct: DataFrame, rows: int) -> DataFrame:
     prefix = min(24, max(7, ceil(log2(max(1, rows) / SUBTRIE))))
     turned = (F.shiftleft("fp", 32)).bitwiseOR(F.shiftrightunsigned("fp", 32))
     values = distinct.select(F.explode(F.array(F.struct(F.lit(False).alias("turned"), F.col("fp").alias("value")), F.struct(F.lit(True).alias("turned"), turned.alias("value")))).alias("v")).select("v.*")
-    home = F.shiftrightunsigned("value", 64 - prefix)
-    visits = F.transform(F.array(*[home.bitwiseXOR(F.lit(1 << k)) for k in range(prefix)]), lambda x: F.struct(x.alias("subtrie"), F.lit(True).alias("guest")))
-    places = F.concat(F.array(F.struct(home.alias("subtrie"), F.lit(False).alias("guest"))), F.filter(visits, lambda v: v["subtrie"] < home))
-    dealt = values.select("turned", "value", F.explode(places).alias("p")).select("turned", "value", "p.subtrie", "p.guest")
-    return dealt.groupBy("turned", "subtrie").applyInPandas(_subtrie_links(prefix), "a long, b long")
+    subtrie = lambda c, depth: F.shiftrightunsigned(c, 64 - depth)
+    hot = values.groupBy("turned", subtrie("value", prefix).alias("subtrie")).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("turned", "subtrie", F.lit(True).alias("hot"))
+    guests = F.transform(_visits(0, prefix), lambda x: F.struct(x.alias("at"), F.lit(True).alias("guest")))
+    dealt = values.select("turned", "value", F.explode(F.concat(F.array(F.struct(F.col("value").alias("at"), F.lit(False).alias("guest"))), guests)).alias("p")).select("turned", "value", "p.*")
+    dealt = dealt.withColumn("subtrie", subtrie("at", prefix)).join(materialise(hot, "hot-subtries"), ["turned", "subtrie"], "left")
+    cool = dealt.where("hot IS NULL").select("turned", "value", "guest", F.lit(prefix).alias("depth"), "subtrie")
+    deep = dealt.where("hot").select("turned", "value", "guest", F.lit(32).alias("depth"), subtrie("at", 32).alias("subtrie"))
+    near = dealt.where("hot AND NOT guest").select("turned", "value", F.explode(_visits(prefix, 32)).alias("at")).select("turned", "value", F.lit(True).alias("guest"), F.lit(32).alias("depth"), subtrie("at", 32).alias("subtrie"))
+    return cool.unionByName(deep).unionByName(near).groupBy("turned", "depth", "subtrie").applyInPandas(_subtrie_links, "a long, b long")
 
 
 def connected_components(links: DataFrame) -> DataFrame:

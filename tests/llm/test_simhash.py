@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Row
 
-from helixframe.llm.simhash import fingerprint, near_duplicates, trie_labels
+from helixframe.llm.simhash import connected_components, fingerprint, fingerprint_links, near_duplicates, trie_labels
 
 
 def plain(text):
@@ -67,3 +67,17 @@ def test_components_of_documents(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hot_subtries_dealt_again_give_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 8)] + [(1 << 63) + 5]
+    values = sorted({b ^ sum({1 << int(k) for k in rng.integers(0, 64, int(rng.integers(0, 6)))}) for b in base for _ in range(40)})
+    want = brute(values)
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    for hot in (1 << 16, 3, 0):
+        monkeypatch.setattr("helixframe.llm.simhash.HOT", hot)
+        roots = {r["node"]: r["root"] for r in connected_components(fingerprint_links(frame, len(values))).collect()}
+        own = [roots.get(v - (1 << 64) if v >> 63 else v, v - (1 << 64) if v >> 63 else v) for v in values]
+        assert len(set(want)) > 9
+        assert [(a == b) for a in own for b in own] == [(a == b) for a in want for b in want], hot
