@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on at most ``s.sample`` labelled documents outside the held-out fifth; features are made on the executors."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out())
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [document_features(t, s) for t in batch.column("text").to_pylist()]
@@ -195,7 +195,8 @@ def accepted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), with_text: bool = False) -> DataFrame:  # noqa: B008
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= the threshold).
 
-    Labels with null fields are left out; two labels of one id count as the better one. A null or empty text gets the
+    Labels with null fields are left out; two labels of one id count as the better one, and of several rows of a labelled
+    id the text that sorts first is learned. A null doc_id is scored like any other. A null or empty text gets the
     score of the bias. Without labels every score is one half. Repeated rows each return a row; extra columns are
     ignored; an empty table gives an empty result.
     """
