@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from helixframe.functions.sequence import ascii_upper, count_of
-from helixframe.functions.tables import C_TERM_PKA, HYDROPATHY, N_TERM_PKA, NEGATIVE_PKA, POSITIVE_PKA, RESIDUE_MASS, RESIDUES, UNKNOWN_RESIDUE_MASS, WATER_MASS
+from helixframe.functions.tables import C_TERM_PKA, HELIX, HYDROPATHY, N_TERM_PKA, NEGATIVE_PKA, POSITIVE_PKA, RESIDUE_MASS, RESIDUES, SHEET, TURN, UNKNOWN_RESIDUE_MASS, WATER_MASS
 
 
 def clean_protein(s: Column) -> Column:
@@ -55,3 +55,27 @@ def isoelectric_point(protein: pd.Series) -> pd.Series:
         charge += sum(counts[r] / (1 + 10 ** (ph - k)) for r, k in POSITIVE_PKA.items()) - sum(counts[r] / (1 + 10 ** (k - ph)) for r, k in NEGATIVE_PKA.items())
         low, high = np.where(charge > 0, ph, low), np.where(charge > 0, high, ph)
     return pd.Series(np.where(protein.str.len().to_numpy() == 0, 7.0, (low + high) / 2))
+
+
+def _classes(s: Column) -> Column:
+    """Helix, Sheet or Coil of each residue: the greatest of its propensities, helix and sheet first."""
+    at = lambda c: F.instr(F.lit(RESIDUES), c)
+    scale = lambda c, values: F.coalesce(F.get(F.array(*(F.lit(values[r]) for r in RESIDUES)), F.nullif(at(c), F.lit(0)) - 1), F.lit(1.0))
+
+    def of(c: Column) -> Column:
+        h, e, t = (scale(c, v) for v in (HELIX, SHEET, TURN))
+        return F.when((h >= e) & (h >= t), "Helix").when((e >= h) & (e >= t), "Sheet").otherwise("Coil")
+
+    return F.filter(F.transform(F.split(s, ""), lambda c: F.when(c != "", of(c))), lambda c: c.isNotNull())
+
+
+def residue_structure(s: Column) -> Column:
+    """Array of the class of each residue, smoothed to the majority of five neighbours, ties to the first of them."""
+    raw = _classes(s)
+
+    def majority(window: Column) -> Column:
+        votes = [F.struct((-F.size(F.filter(window, lambda x: x == k))).alias("n"), F.coalesce(F.nullif(F.array_position(window, k), F.lit(0)), F.lit(9)).alias("at"), F.lit(k).alias("kind")) for k in ("Helix", "Sheet", "Coil")]  # noqa: B023
+        return F.array_min(F.array(*votes))["kind"]
+
+    smoothed = lambda own: F.transform(own, lambda _, i: majority(F.slice(own, F.greatest(i - 1, F.lit(1)), F.least(i + 2, F.size(own) - 1) - F.greatest(i - 2, F.lit(0)) + 1)))
+    return F.element_at(F.transform(F.array(raw), smoothed), 1)

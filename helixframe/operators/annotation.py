@@ -1,47 +1,116 @@
-"""Open reading frames, intervals and annotation lines."""
+"""Open reading frames, intervals and annotation lines.
+
+Frames are read in Arrow batches: a strand's codons are looked up as one numpy array, and stops and starts are found by
+searches in their sorted places, so a sequence costs the same few array steps whatever its length.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import longest_m_segment, reverse_complement, translate_codons
-
-
-def six_frames(sequences: DataFrame) -> DataFrame:
-    """(doc_id, n, strand, frame, protein): translations of both strands."""
-    dna = F.translate("seq", "U", "T")
-    strands = F.array(F.struct(F.lit("+").alias("strand"), dna.alias("dna")), F.struct(F.lit("-").alias("strand"), reverse_complement(dna).alias("dna")))
-    own = sequences.select("doc_id", F.length("seq").alias("n"), F.explode(strands).alias("s")).select("doc_id", "n", "s.*", F.explode(F.array(*map(F.lit, range(3)))).alias("frame"))
-    return own.select("doc_id", "n", "strand", "frame", translate_codons(F.expr("substring(dna, frame + 1)")).alias("protein"))
-
-
-def find_orfs(sequences: DataFrame, min_length: int = 100, top: int = 200) -> DataFrame:
-    """Frames from ATG to the first stop, stop included, of ``min_length`` bases or more; the ``top`` longest of each.
+from helixframe.functions.tables import CODON_AMINO, CODON_BASES
+
+#: Rows of one Arrow batch that are worked at once.
+BATCH = 256
+_BASE = np.full(256, 4, np.int64)
+_BASE[[ord(b) for b in CODON_BASES + "U"]] = [0, 1, 2, 3, 0]
+_TURNED = np.array([2, 3, 0, 1, 4])  # T, C, A, G: each base's complement
+_AMINO = np.frombuffer(CODON_AMINO.encode(), np.uint8)
+
+
+def _strands(seq: str) -> list[tuple[str, np.ndarray]]:
+    """Amino letters of the codon at every place of both strands (X where it holds anything but bases)."""
+    own = _BASE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    out = []
+    for strand, b in (("+", own), ("-", _TURNED[own[::-1]])):
+        if len(b) < 3:
+            out.append((strand, np.zeros(0, np.uint8)))
+            continue
+        known = (b[:-2] < 4) & (b[1:-1] < 4) & (b[2:] < 4)
+        out.append((strand, np.where(known, _AMINO[np.where(known, 16 * b[:-2] + 4 * b[1:-1] + b[2:], 0)], ord("X"))))
+    return out
+
+
+def frame_segments(amino: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first M, end, whether a stop ends it) of each stop-free segment of a frame that holds an M, in residues."""
+    stops = np.flatnonzero(amino == ord("*"))
+    starts = np.flatnonzero(amino == ord("M"))
+    ends = np.append(stops, len(amino))
+    begins = np.concatenate([[0], stops + 1])
+    k = np.searchsorted(starts, begins)
+    first = np.append(starts, len(amino))[k]
+    has = first < ends
+    return first[has], ends[has], (np.arange(len(ends)) < len(stops))[has]
+
+
+def orf_columns(seq: str, min_length: int, top: int | None) -> list[np.ndarray]:
+    """Columns minus (0 or 1), frame, start, end, n_aa of a sequence's frames, the longest first."""
+    found = []
+    for minus, (_, amino) in enumerate(_strands(seq)):
+        for frame in range(3):
+            first, end, stopped = frame_segments(amino[frame::3])
+            keep = stopped & (3 * (end - first + 1) >= min_length)
+            first, end = first[keep], end[keep]
+            found.append(np.stack([np.full(len(first), minus), np.full(len(first), frame), frame + 3 * first, frame + 3 * (end + 1), end - first]))
+    rows = np.concatenate(found, axis=1)
+    order = np.lexsort((rows[2], rows[1], rows[0], rows[2] - rows[3]))
+    return list(rows[:, order[:top]])
+
+
+def find_orfs(sequences: DataFrame, min_length: int = 100, top: int | None = 200) -> DataFrame:
+    """Frames from ATG to the first stop, stop included, of ``min_length`` bases or more; the ``top`` longest of each
+    (None: all), ties by strand, frame and start.
 
     Start and end are places on the frame's own strand; forward_start is the leftmost base on the plus strand. Frames
-    without a stop do not count.
+    without a stop do not count. Null, empty and shorter sequences have none; repeated rows each give their frames.
     """
-    parts = six_frames(sequences).select("doc_id", "n", "strand", "frame", F.regexp_extract_all("protein", F.lit(r"[^*]*\*"), F.lit(0)).alias("parts"))
 
-    def step(a, part):
-        m = F.instr(part, "M")
-        orf = F.struct((a["at"] + m - 1).alias("aa"), (F.length(part) - m).alias("n_aa"))
-        return F.struct((a["at"] + F.length(part)).alias("at"), F.when((m > 0) & (3 * (F.length(part) - m + 1) >= min_length), F.concat(a["found"], F.array(orf))).otherwise(a["found"]).alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<aa:int,n_aa:int>>)").alias("found"))
-    orfs = parts.select("doc_id", "n", "strand", "frame", F.explode(F.aggregate("parts", start, step, lambda a: a["found"])).alias("o"))
-    begin, length = F.col("frame") + 3 * F.col("o.aa"), 3 * (F.col("o.n_aa") + 1)
-    placed = orfs.select("doc_id", "strand", "frame", begin.alias("start"), (begin + length).alias("end"), length.alias("length"), "o.n_aa", F.when(F.col("strand") == "+", begin).otherwise(F.col("n") - begin - length).alias("forward_start"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("length"), "strand", "frame", "start"))
-    return placed.withColumn("rank", rank).where(F.col("rank") <= top)
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                ids, columns, sizes = part.column("doc_id").to_pylist(), [], []
+                for seq in part.column("seq").to_pylist():
+                    minus, frame, start, end, n_aa = orf_columns(seq or "", min_length, top)
+                    forward = np.where(minus == 1, len(seq or "") - end, start)
+                    columns.append(np.stack([minus, frame, start, end, end - start, n_aa, forward, np.arange(1, len(start) + 1)]))
+                    sizes.append(len(start))
+                rows = np.concatenate(columns, axis=1)
+                strand = pa.array(np.where(rows[0] == 1, "-", "+").tolist(), pa.string())
+                ints = [pa.array(r, pa.int32()) for r in rows[1:]]
+                doc = pa.array([i for i, n in zip(ids, sizes, strict=True) for _ in range(n)], pa.int64())
+                yield pa.RecordBatch.from_arrays([doc, strand, *ints], ["doc_id", "strand", "frame", "start", "end", "length", "n_aa", "forward_start", "rank"])
+
+    own = sequences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("string").alias("seq"))
+    return own.mapInArrow(run, "doc_id long, strand string, frame int, start int, end int, length int, n_aa int, forward_start int, rank int")
 
 
 def best_frame(sequences: DataFrame) -> DataFrame:
-    """(doc_id, strand, frame, longest): the frame with the longest segment from M; ties forward first, then lower."""
-    scored = six_frames(sequences).select("doc_id", "strand", "frame", longest_m_segment(F.col("protein")).alias("longest"))
-    order = F.struct("longest", (F.col("strand") == "+").alias("forward"), (-F.col("frame")).alias("low"))
-    return scored.groupBy("doc_id").agg(F.max_by(F.struct("strand", "frame", "longest"), order).alias("m")).select("doc_id", "m.*")
+    """(doc_id, strand, frame, longest): the frame with the longest segment from M; ties forward first, then lower.
+
+    A segment may run to the sequence's end. Null and empty sequences give the first frame with 0.
+    """
+
+    def best(seq: str) -> tuple[str, int, int]:
+        scored = []
+        for strand, amino in _strands(seq):
+            for frame in range(3):
+                first, end, _ = frame_segments(amino[frame::3])
+                scored.append((-int((end - first).max(initial=0)), strand, frame))
+        longest, strand, frame = min(scored)
+        return strand, frame, -longest
+
+    def run(batches):
+        for batch in batches:
+            rows = [best(s or "") for s in batch.column("seq").to_pylist()]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "strand", "frame", "longest"])
+
+    own = sequences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("string").alias("seq"))
+    return own.mapInArrow(run, "doc_id long, strand string, frame int, longest int")
 
 
 def gff3_lines(features: DataFrame) -> DataFrame:

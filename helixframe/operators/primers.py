@@ -49,6 +49,21 @@ def self_dimers(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def cross_dimers(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Greatest share of the bases of ``left`` that pair with ``right`` at one shift."""
+    out = np.zeros(len(left))
+    sizes = pd.DataFrame({"n": left.str.len(), "m": right.str.len()}).reset_index(drop=True)
+    for (n, m), rows in sizes.groupby(["n", "m"]).groups.items():
+        if n == 0 or m == 0:
+            continue
+        letters = lambda t, k: np.frombuffer("".join(t).encode("ascii", "replace"), np.uint8).reshape(-1, k)
+        p, r = letters(left.iloc[rows], n), letters(right.iloc[rows].map(lambda x: x[::-1].translate(_COMPLEMENT)), m)
+        shared = [(p[:, max(0, -s) : min(n, m - s)] == r[:, max(0, s) : min(m, n + s)]).sum(axis=1) for s in range(1 - n, n) if min(n, m - s) > max(0, -s)]
+        out[rows] = np.minimum(np.max(shared, axis=0) / n, 1.0)
+    return pd.Series(out)
+
+
+cross_dimer = F.pandas_udf(cross_dimers, DoubleType())
 hairpin_risk = F.pandas_udf(hairpins, DoubleType())
 self_dimer = F.pandas_udf(self_dimers, DoubleType())
 
@@ -73,6 +88,12 @@ def primer_pairs(templates: DataFrame, shortest_product: int = 100, longest_prod
     r = c.where("strand = '-'").select("doc_id", (F.col("n") - F.col("start")).alias("r_end"), F.col("primer").alias("reverse"), F.col("tm").alias("r_tm"), F.col("score").alias("r_score"))
     gap, product = F.abs(F.col("f_tm") - F.col("r_tm")), F.col("r_end") - F.col("f_start")
     pairs = f.join(r, "doc_id").where(product.between(shortest_product, longest_product) & (gap <= 5))
-    scored = pairs.withColumn("product", product).withColumn("pair_score", (F.col("f_score") + F.col("r_score")) / 2 - gap)
+    base = (F.col("f_score") + F.col("r_score")) / 2 - 2 * gap
+    own = Window.partitionBy("doc_id").orderBy(F.desc("base"))
+    # Dimers take up to 15 points: what is 15 below the last of the best cannot come among them.
+    pairs = pairs.withColumn("product", product).withColumn("base", base).withColumn("place", F.row_number().over(own))
+    least = F.min(F.when(F.col("place") <= top, F.col("base"))).over(Window.partitionBy("doc_id")) - 15
+    near = pairs.withColumn("least", least).where("base >= least").drop("least", "place")
+    scored = near.withColumn("pair_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") - 15 * cross_dimer("forward", "reverse")))).drop("base")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pair_score"), "f_start", "r_end", "forward", "reverse"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from helixframe.functions.sequence import at_content, count_of, gc_content
 
 ADAPTER = "AGATCGGAAGAGC"
+#: Rows of a barcode sheet at most: it is sent to all tasks.
+SAMPLES = 100_000
 
 
 def _sum(values: Column) -> Column:
@@ -94,15 +96,18 @@ def trim(reads: DataFrame, adapter: str = ADAPTER, probe: int = 12, window: int
 def demultiplex(reads: DataFrame, barcodes: DataFrame, mismatches: int = 1, keep_unassigned: bool = True) -> DataFrame:
     """Reads by the first barcode (idx, sample, barcode) within ``mismatches`` of their start, which is cut off.
 
-    The sheet is folded into one array per read, so a read is neither shuffled nor multiplied; it has one row a sample.
+    The sheet is folded into one array for all reads, so a read is neither shuffled nor multiplied. It has a row for each
+    sample, SAMPLES at most: a larger one is an error. Null reads are unassigned; ties go to the lowest idx.
     """
+    if (samples := barcodes.count()) > SAMPLES:
+        raise ValueError(f"a barcode sheet has at most {SAMPLES} rows, this one {samples}")
     sheet = barcodes.agg(F.array_sort(F.collect_list(F.struct("idx", "sample", "barcode"))).alias("sheet"))
 
     def matches(b: Column) -> Column:
         pairs = F.zip_with(F.split(b["barcode"], ""), F.split(F.substring(F.col("seq"), F.lit(1), F.length(b["barcode"])), ""), lambda x, y: x != y)
         return (F.length("seq") >= F.length(b["barcode"])) & (F.size(F.filter(pairs, lambda d: d)) <= mismatches)
 
-    found = reads.crossJoin(F.broadcast(sheet)).withColumn("hit", F.get(F.filter("sheet", matches), F.lit(0)))  # one row on the right
+    found = reads.crossJoin(F.broadcast(sheet)).withColumn("hit", F.explode_outer(F.array(F.get(F.filter("sheet", matches), F.lit(0)))))  # one row on the right; one hit, looked up once
     cut = F.coalesce(F.length("hit.barcode"), F.lit(0))
     columns = [F.col(c) for c in reads.columns if c not in ("seq", "qual")]
     out = found.select(*columns, F.coalesce("hit.sample", F.lit("")).alias("sample"), F.substring(F.col("seq"), cut + 1, F.length("seq")).alias("seq"), *([F.slice("qual", cut + 1, F.size("qual")).alias("qual")] if "qual" in reads.columns else []))

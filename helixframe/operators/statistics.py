@@ -27,3 +27,21 @@ def n50(lengths: DataFrame, by: str) -> DataFrame:
     down = Window.partitionBy(by).orderBy(F.desc("length"))
     running = counted.select(by, "length", F.sum("bases").over(down).alias("running"), F.sum("bases").over(Window.partitionBy(by)).alias("total"))
     return running.where("running * 2 >= total").groupBy(by).agg(F.max("length").alias("n50"), F.max("total").alias("total"))
+
+
+def composition(sequences: DataFrame) -> DataFrame:
+    """(symbol, n) of all sequences together: counted by sequence first, so that a batch is summed where it lies."""
+    symbols = sequences.select(F.explode(F.split("seq", "")).alias("symbol")).where("symbol <> ''")
+    return symbols.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+def collection_report(sequences: DataFrame, gc: Column) -> DataFrame:
+    """One row: number of sequences, mean, median, deviation and bounds of length and GC, diversity of all symbols.
+
+    An empty collection has zeros.
+    """
+    both = sequences.select(F.length("seq").cast("double").alias("length"), gc.alias("gc"))
+    makers = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "sd": F.stddev_pop, "least": F.min, "greatest": F.max}
+    stats = both.agg(F.count("*").alias("n"), *(F.round(F.coalesce(f(c), F.lit(0.0)), 6).alias(f"{c}_{k}") for c in ("length", "gc") for k, f in makers.items()))
+    index = diversity(composition(sequences).withColumn("all", F.lit(1)), "all")
+    return stats.withColumn("all", F.lit(1)).join(index, "all", "left").drop("all").fillna(0.0)

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.protein import residue_structure
 from helixframe.functions.sequence import complement
 
-#: Bases drawn of a helix at most; part of the operator's definition.
+#: Bases drawn of a helix by default.
 HELIX_BASES = 120
 
 
-def helix_atoms(sequences: DataFrame) -> DataFrame:
-    """(doc_id, strand, base_index, base, x, y, z): a double helix of radius 9, rise 3 and twist 34 degrees."""
-    bases = sequences.select("doc_id", F.posexplode(F.split(F.substring("seq", 1, HELIX_BASES), "")).alias("base_index", "base")).where("base <> ''")
+def helix_atoms(sequences: DataFrame, most: int | None = HELIX_BASES) -> DataFrame:
+    """(doc_id, strand, base_index, base, x, y, z): a double helix of radius 9, rise 3 and twist 34 degrees.
+
+    The first ``most`` bases are drawn, with None all; null and empty sequences have no atoms.
+    """
+    drawn = F.col("seq") if most is None else F.substring("seq", 1, most)
+    bases = sequences.select("doc_id", F.posexplode(F.split(drawn, "")).alias("base_index", "base")).where("base <> ''")
     strands = bases.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("strand"))
     angle = F.radians(34.0 * F.col("base_index") + 180.0 * (F.col("strand") - 1))
     base = F.when(F.col("strand") == 1, F.col("base")).otherwise(complement(F.col("base")))
     return strands.select("doc_id", "strand", "base_index", base.alias("base"), F.round(9 * F.cos(angle), 6).alias("x"), F.round(9 * F.sin(angle), 6).alias("y"), (3.0 * F.col("base_index")).cast("double").alias("z"))
+
+
+def backbone(proteins: DataFrame, most: int | None = 150) -> DataFrame:
+    """(doc_id, index, residue, kind, x, y, z): a point for each residue of (doc_id, seq), by its secondary structure.
+
+    A helix winds on by 100 degrees and rises by 1.5, a sheet zigzags and rises by 3.2, a coil wanders and rises by 2.2.
+    The first ``most`` residues are drawn, with None all; null and empty proteins have none.
+    """
+    drawn = proteins.select("doc_id", (F.col("seq") if most is None else F.substring("seq", 1, most)).alias("seq"))
+    points = F.arrays_zip(F.split("seq", "").alias("residue"), residue_structure(F.col("seq")).alias("kind"))
+    rows = drawn.where("seq <> ''").select("doc_id", F.posexplode(points).alias("index", "p")).select("doc_id", "index", "p.residue", "p.kind")
+    order = Window.partitionBy("doc_id").orderBy("index")
+    i, kind = F.col("index"), F.col("kind")
+    rise = F.when(kind == "Helix", 1.5).when(kind == "Sheet", 3.2).otherwise(2.2)
+    rows = rows.withColumn("open", F.when(F.lag("kind").over(order) == kind, 0).otherwise(1)).withColumn("run", F.sum("open").over(order))
+    rows = rows.withColumn("turn", F.radians(100.0 * (F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("index")) - 1)))
+    x = F.when(kind == "Helix", 2.3 * F.cos("turn")).when(kind == "Sheet", F.when(i % 2 == 0, 1.6).otherwise(-1.6)).otherwise(2.5 * F.sin(0.5 * i))
+    y = F.when(kind == "Helix", 2.3 * F.sin("turn")).when(kind == "Sheet", 0.0).otherwise(2.0 * F.cos(0.7 * i))
+    return rows.select("doc_id", "index", "residue", F.lower("kind").alias("kind"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(F.sum(rise).over(order), 6).alias("z"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import codon_amino
+from helixframe.functions.sequence import translate_codons
+from helixframe.functions.tables import RESIDUES
+from helixframe.operators.scoring import MATRICES
+
+BLOSUM = MATRICES["blosum62"]
 
 
 def variant_columns(pairs: DataFrame) -> DataFrame:
@@ -39,20 +43,29 @@ def is_transition() -> F.Column:
 
 
 def codon_impact(blocks: DataFrame, references: DataFrame, frame: int = 0) -> DataFrame:
-    """``blocks`` with ``impact``: of the codon of a single substitution, else of the length by three.
+    """``blocks`` with ``impact``, ``protein`` (p.F1Y, of all codons that a substitution touches) and ``severity``.
 
-    ``references``: (id, ref) ungapped, coding from ``frame`` on.
+    A substitution is judged by the residues of its codons before and after: unknown where the last codon is not whole,
+    synonymous, nonsense (a stop comes in) or missense; an insertion or deletion by its length. ``severity`` is the
+    BLOSUM62 score of a missense change of one residue, else 0. ``references``: (id, ref) ungapped, coding from ``frame``.
     """
     b = blocks.join(references.select("id", F.col("ref").alias("dna")), "id")
-    at = F.floor((F.col("start") - frame) / 3).cast("int") * 3 + frame
-    b = b.withColumn("codon", F.substring(F.col("dna"), at + 1, F.lit(3))).withColumn("k", F.col("start") - at)
-    changed = F.concat(F.expr("substring(codon, 1, k)"), F.col("alt"), F.expr("substring(codon, k + 2, 3)"))
-    before, after = codon_amino(F.col("codon")), codon_amino(changed)
-    single = (F.col("kind") == "substitution") & (F.length("ref") == 1)
-    snv = F.when(F.length("codon") < 3, "unknown").when(before == after, "synonymous").when(after == "*", "nonsense").otherwise("missense")
+    first = F.floor((F.col("start") - frame) / 3).cast("int")
+    last = F.greatest(F.floor((F.col("start") + F.length("ref") - 1 - frame) / 3).cast("int"), first)
+    b = b.withColumn("first", first).withColumn("n", 3 * (last - first + 1)).withColumn("at", 3 * first + frame)
+    b = b.withColumn("codons", F.substring(F.col("dna"), F.col("at") + 1, F.col("n"))).withColumn("k", F.col("start") - F.col("at"))
+    changed = F.concat(F.expr("substring(codons, 1, k)"), F.col("alt"), F.expr("substring(codons, k + length(ref) + 1)"))
+    b = b.withColumn("before", translate_codons(F.col("codons"))).withColumn("after", translate_codons(changed))
+    before, after = F.col("before"), F.col("after")
+    stops = F.contains(after, F.lit("*")) & ~F.contains(before, F.lit("*"))
+    replaced = F.when(F.length("codons") < F.col("n"), "unknown").when(before == after, "synonymous").when(stops, "nonsense").otherwise("missense")
     indel = F.when(F.greatest(F.length("ref"), F.length("alt")) % 3 == 0, "inframe").otherwise("frameshift")
-    impact = F.when(F.col("start") < frame, "nonCoding").when(single, snv).when(F.col("kind") == "substitution", "missense").otherwise(indel)
-    return b.select(*blocks.columns, impact.alias("impact"))
+    b = b.withColumn("impact", F.when(F.col("start") < frame, "nonCoding").when(F.col("kind") == "substitution", replaced).otherwise(indel))
+    protein = F.when(F.col("impact").isin("missense", "nonsense", "synonymous"), F.concat(F.lit("p."), before, (F.col("first") + 1).cast("string"), after))
+    row, column = (F.nullif(F.instr(F.lit(RESIDUES), c), F.lit(0)) for c in (before, after))
+    scores = F.array(*(F.lit(BLOSUM[x, y]) for x in RESIDUES for y in RESIDUES))
+    severity = F.when((F.col("impact") == "missense") & (F.length("before") == 1), F.coalesce(F.get(scores, 20 * (row - 1) + column - 1), F.lit(0))).otherwise(0)
+    return b.select(*blocks.columns, "impact", protein.alias("protein"), severity.alias("severity"))
 
 
 def mutation_counts(blocks: DataFrame) -> DataFrame:

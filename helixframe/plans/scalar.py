@@ -53,6 +53,11 @@ def count_sql(letter: str, s: str = "seq") -> str:
     return f"(length({s}) - length(replace({s}, '{letter}', '')))"
 
 
+def tm_sql(s: str) -> str:
+    n, gc, at = f"length({s})", f"length(regexp_replace({s}, '[^GC]', '', 'g'))", f"length(regexp_replace({s}, '[^AT]', '', 'g'))"
+    return f"CASE WHEN {n} = 0 THEN 0 WHEN {n} < 14 THEN 2.0::DOUBLE * {at} + 4.0 * {gc} ELSE 81.5::DOUBLE + 0.41::DOUBLE * ({gc} * 100.0::DOUBLE / {n}) - 675.0::DOUBLE / {n} END"
+
+
 def weighted_sql(scale: dict[str, float]) -> str:
     return "(" + " + ".join(f"{count_sql(r)} * {v}::DOUBLE" for r, v in scale.items()) + ")"
 
@@ -64,7 +69,7 @@ def rna_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dna_helix_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return helix_atoms(views.hash_dna(spark, sf_dir))
+    return helix_atoms(views.text_dna(spark, sf_dir))
 
 
 def seq_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +119,7 @@ QUERIES: dict[str, Query] = {
     "protein_extinction": over(views.text_protein, lambda: dict(extinction=prot.extinction_coefficient(seq()).cast("long"))),
     "protein_ss_propensity": over(views.text_protein, lambda: dict(**{n: F.round(prot.mean_of(seq(), s, 1.0), 6) for n, s in MEANS.items()})),
     "protein_pi": over(views.text_protein, lambda: dict(pi=F.round(prot.isoelectric_point(seq()), 6))),
-    "primer_tm": over(views.hash_dna, lambda: dict(tm_short=F.round(sq.melting_temperature(F.substring(seq(), 1, 12)), 6), tm_long=F.round(sq.melting_temperature(seq()), 6))),
+    "primer_tm": over(views.text_dna, lambda: dict(tm_short=F.round(sq.melting_temperature(F.substring(seq(), 1, 12)), 6), tm_long=F.round(sq.melting_temperature(seq()), 6))),
     "homopolymer_max": over(views.text_dna, lambda: dict(longest=sq.longest_homopolymer(seq()))),
     "stability_report": over(views.text_dna, lambda: dict(tm=F.round(sq.stability_temperature(seq()), 6), assessment=sq.thermal_stability(sq.gc_content(seq())), repeat_note=sq.longest_homopolymer(seq()) >= 6)),
     "dna_helix_atoms": dna_helix_atoms,
@@ -145,7 +150,7 @@ SQL = {
     "protein_aliphatic": sql("text_protein", f"SELECT doc_id, round(CASE WHEN seq = '' THEN 0 ELSE ({count_sql('A')} + 2.9::DOUBLE * {count_sql('V')} + 3.9::DOUBLE * ({count_sql('I')} + {count_sql('L')})) * 100.0 / length(seq) END, 6) AS aliphatic FROM v"),
     "protein_extinction": sql("text_protein", f"SELECT doc_id, 5500 * {count_sql('W')} + 1490 * {count_sql('Y')} + 125 * ({count_sql('C')} // 2) AS extinction FROM v"),
     "protein_ss_propensity": sql("text_protein", "SELECT doc_id, " + ", ".join(f"round(CASE WHEN seq = '' THEN 1 ELSE {weighted_sql(s)} / length(seq) END, 6) AS {n}" for n, s in MEANS.items()) + " FROM v"),
-    "primer_tm": sql("hash_dna", "SELECT doc_id, round(2.0::DOUBLE * length(regexp_replace(substr(seq, 1, 12), '[^AT]', '', 'g')) + 4.0 * length(regexp_replace(substr(seq, 1, 12), '[^GC]', '', 'g')), 6) AS tm_short, round(81.5::DOUBLE + 0.41::DOUBLE * (length(regexp_replace(seq, '[^GC]', '', 'g')) * 100.0::DOUBLE / length(seq)) - 675.0::DOUBLE / length(seq), 6) AS tm_long FROM v"),
+    "primer_tm": sql("text_dna", f"SELECT doc_id, round({tm_sql('substr(seq, 1, 12)')}, 6) AS tm_short, round({tm_sql('seq')}, 6) AS tm_long FROM v"),
     "homopolymer_max": sql("text_dna", "SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))), 0)::INT AS longest FROM v"),
     "stability_report": sql(
         "text_dna",
@@ -154,7 +159,7 @@ SQL = {
         FROM (SELECT doc_id, length(seq) AS n, CASE WHEN seq = '' THEN 0 ELSE length(regexp_replace(seq, '[^GC]', '', 'g')) * 100.0::DOUBLE / length(seq) END AS gc, coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))), 0) AS h FROM v)""",
     ),
     "dna_helix_atoms": sql(
-        "hash_dna",
+        "text_dna",
         """, b AS (SELECT doc_id, seq, unnest(range(0, least(length(seq), 120))) AS i FROM v), s AS (SELECT *, unnest([1, 2]) AS strand FROM b)
         SELECT doc_id, strand::INT AS strand, i::INT AS base_index, CASE WHEN strand = 1 THEN seq[i + 1] ELSE translate(seq[i + 1], 'ACGT', 'TGCA') END AS base,
         round(9 * cos(radians(34 * i + 180 * (strand - 1))), 6) AS x, round(9 * sin(radians(34 * i + 180 * (strand - 1))), 6) AS y, (3.0 * i)::DOUBLE AS z FROM s""",

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from helixframe.functions.sequence import LOWER, UPPER, ascii_upper
 from helixframe.functions.tables import RESIDUES
 
-HEX = "0123456789abcdef"
 #: Each letter folded to a base, A, C, G and T to themselves.
 FOLD = "ACCTATGACTACGTACGTATGCACGT"[:26]
 BARCODES = [(1, "SampleA", "ACGT"), (2, "SampleB", "TTGG"), (3, "SampleC", "GGCA"), (4, "SampleD", "CATC")]
@@ -18,25 +17,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _hex() -> Column:
-    return F.concat(F.md5(F.col("doc_id").cast("string")), F.md5(F.coalesce("text", F.lit(""))))
+def _letters() -> Column:
+    return F.regexp_replace(ascii_upper(F.coalesce("text", F.lit(""))), "[^A-Z]", "")
 
 
-def hash_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, seq): 64 near-uniform bases."""
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(_hex(), HEX, "ACGT" * 4).alias("seq"))
+def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, seq): the letters of the text folded to bases; near-duplicates stay similar."""
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(_letters(), UPPER, FOLD).alias("seq"))
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, seq, qual): the bases of hash_dna with qualities of 6 to 36."""
-    quality = F.transform(F.split(_hex(), ""), lambda c: 6 + 2 * (F.instr(F.lit(HEX), c) - 1))
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(_hex(), HEX, "ACGT" * 4).alias("seq"), quality.alias("qual"))
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to tasks, for work that weighs more than moving its input; adaptive execution sets their number."""
+    return df.repartition("doc_id")
 
 
-def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, seq): the letters of the text folded to bases; near-duplicates stay similar."""
-    letters = F.regexp_replace(ascii_upper(F.coalesce("text", F.lit(""))), "[^A-Z]", "")
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(letters, UPPER, FOLD).alias("seq"))
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, seq, qual): the bases of text_dna, with a quality of 12 to 40 from each letter."""
+    own = read(spark, sf_dir, "documents").select("doc_id", "lang", _letters().alias("letters"))
+    quality = F.transform(F.split("letters", ""), lambda c: 12 + (7 * F.instr(F.lit(UPPER), c)) % 29)
+    empty = F.expr("cast(array() as array<int>)")
+    return own.select("doc_id", "lang", F.translate("letters", UPPER, FOLD).alias("seq"), F.when(F.col("letters") == "", empty).otherwise(quality).alias("qual"))
 
 
 def text_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +44,11 @@ def text_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_replace(ascii_upper(F.coalesce("text", F.lit(""))), f"[^{RESIDUES}]", "").alias("seq"))
 
 
-_SQL_HEX = "md5(doc_id::VARCHAR) || md5(coalesce(text, ''))"
 _SQL_UPPER = f"translate(coalesce(text, ''), '{LOWER}', '{UPPER}')"
+_SQL_LETTERS = f"regexp_replace({_SQL_UPPER}, '[^A-Z]', '', 'g')"
 SQL_VIEWS = {
-    "hash_dna": f"SELECT doc_id, lang, translate({_SQL_HEX}, '{HEX}', '{'ACGT' * 4}') AS seq FROM documents",
-    "reads": f"SELECT doc_id, lang, translate({_SQL_HEX}, '{HEX}', '{'ACGT' * 4}') AS seq, list_transform(string_split({_SQL_HEX}, ''), lambda c: (6 + 2 * (instr('{HEX}', c) - 1))::INT) AS qual FROM documents",
-    "text_dna": f"SELECT doc_id, lang, translate(regexp_replace({_SQL_UPPER}, '[^A-Z]', '', 'g'), '{UPPER}', '{FOLD}') AS seq FROM documents",
+    "reads": f"SELECT doc_id, lang, translate(l, '{UPPER}', '{FOLD}') AS seq, CASE WHEN l = '' THEN []::INT[] ELSE list_transform(string_split(l, ''), lambda c: (12 + (7 * instr('{UPPER}', c)) % 29)::INT) END AS qual FROM (SELECT doc_id, lang, {_SQL_LETTERS} AS l FROM documents)",
+    "text_dna": f"SELECT doc_id, lang, translate({_SQL_LETTERS}, '{UPPER}', '{FOLD}') AS seq FROM documents",
     "text_protein": f"SELECT doc_id, lang, regexp_replace({_SQL_UPPER}, '[^{RESIDUES}]', '', 'g') AS seq FROM documents",
     "barcodes": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{b}')" for i, n, b in BARCODES) + ") AS t(idx, sample, barcode)",
 }
@@ -57,4 +56,4 @@ SQL_VIEWS = {
 
 def sql(view: str, body: str, *more: str) -> str:
     """``body`` over ``view`` (as ``v``) and further views by their own names."""
-    return "WITH " + ", ".join([f"v AS ({SQL_VIEWS[view]})", *(f"{m} AS ({SQL_VIEWS[m]})" for m in more)]) + " " + body
+    return "WITH RECURSIVE " + ", ".join([f"v AS ({SQL_VIEWS[view]})", *(f"{m} AS ({SQL_VIEWS[m]})" for m in more)]) + " " + body

@@ -5,19 +5,34 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from helixframe.functions.sequence import detect_type
+from helixframe.functions.sequence import detect_type, sanitize
+from helixframe.operators.quality import mott_interval
+from helixframe.operators.storage import materialise
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, description, sequence, seq_type): a row for each record; large files are split between tasks.
 
     Text before the first ``>`` and records without a sequence are dropped; line ends and white space at them go.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("value"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def without_preambles(batches):
+        """A file's first row is a record only if it starts with the mark; rows come in the file's order."""
+        last = None
+        for batch in batches:
+            keep = []
+            for value, file, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block")), strict=True):
+                keep.append(block > 0 or file == last or value.lstrip("\ufeff").startswith(">"))
+                last = file if block == 0 else last
+            yield pa.RecordBatch.from_arrays([batch.column("value").filter(pa.array(keep, pa.bool_()))], ["value"])
+
+    raw = raw.mapInArrow(without_preambles, "value string").select(F.regexp_replace("value", "[\r\ufeff]", "").alias("value"))
     first = F.col("value").startswith(">")
     inner = F.when(first, F.substring(F.col("value"), F.lit(2), F.length("value"))).otherwise(F.col("value"))
     records = raw.select(inner.alias("value"))
@@ -27,20 +42,63 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return named.where("sequence <> ''").select("*", detect_type(F.col("sequence")).alias("seq_type"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, idx, name, description, sequence, quality_scores): a row for each four lines of a file.
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, n, value): the lines of each file that are not blank, numbered from 0 in its order.
+
+    Files are split between tasks: each split counts its lines, and the sums of those before it are added.
+    """
+    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", "\r", "")) != "")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    lines = materialise(lines, "lines")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("n"), "value")
+
+
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, idx, name, description, sequence, quality_scores): a row for each four lines of a file, of any size.
 
     Blank lines go first; a record without ``@`` is skipped; qualities stay only where they are as long as the bases.
-    A file is one task's: give many files for large runs.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size("lines") / 4) - 1), lambda i: F.slice("lines", (i * 4 + 1).cast("int"), F.lit(4)))
-    rows = files.where(F.size("lines") >= 4).select("file", F.posexplode(chunks).alias("idx", "r")).where(F.col("r")[0].startswith("@"))
-    header = F.substring(F.col("r")[0], F.lit(2), F.length(F.col("r")[0]))
+    part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(f"line{k}")
+    rows = numbered_lines(spark, path).groupBy("file", F.floor(F.col("n") / 4).cast("int").alias("idx")).agg(*map(part, range(4)))
+    rows = rows.where(F.col("line0").startswith("@") & F.col("line3").isNotNull())
+    header = F.substring(F.col("line0"), F.lit(2), F.length("line0"))
     name = F.regexp_extract(header, r"^(\S*)", 1)
-    sequence = F.upper(F.trim(F.col("r")[1]))
-    quality = F.transform(F.split(F.trim(F.col("r")[3]), ""), lambda c: F.ascii(c) - 33)
-    return rows.select("file", "idx", F.when(name == "", F.concat(F.lit("read_"), F.col("idx").cast("string"))).otherwise(name).alias("name"), F.trim(F.regexp_replace(header, r"^\S*", "")).alias("description"), sequence.alias("sequence"), F.when(F.length(F.trim(F.col("r")[3])) == F.length(sequence), quality).alias("quality_scores"))
+    sequence, signs = F.upper(F.trim("line1")), F.trim("line3")
+    quality = F.transform(F.split(signs, ""), lambda c: F.ascii(c) - 33)
+    return rows.select("file", "idx", F.when(name == "", F.concat(F.lit("read_"), F.col("idx").cast("string"))).otherwise(name).alias("name"), F.trim(F.regexp_replace(header, r"^\S*", "")).alias("description"), sequence.alias("sequence"), F.when(F.length(signs) == F.length(sequence), quality).alias("quality_scores"))
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """(name, description, sequence, seq_type, quality_scores) of FASTA and FASTQ files, told apart by their first sign."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.trim("value").startswith("@").alias("reads"), F.col("_metadata.file_block_start").alias("block"))
+    kinds = {r["file"]: r["reads"] for r in first.groupBy("file").agg(F.min_by("reads", F.struct("block", "id")).alias("reads")).collect()}  # a row for each file, which the driver lists anyway
+    names = ["name", "description", "sequence", "seq_type", "quality_scores"]
+    empty = spark.createDataFrame([], "name string, description string, sequence string, seq_type string, quality_scores array<int>")
+    reads, records = ([f for f, kind in kinds.items() if kind == want] for want in (True, False))
+    out = [read_fastq(spark, reads).withColumn("seq_type", detect_type(F.col("sequence"))).select(names)] if reads else []
+    out += [read_fasta(spark, records).withColumn("quality_scores", F.lit(None).cast("array<int>")).select(names)] if records else []
+    for frame in out:
+        empty = empty.unionByName(frame)
+    return empty
+
+
+def barcode_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, sample, barcode) of a file of lines ``name,barcode``; barcodes in upper case, lines without both are skipped."""
+    parts = F.split("value", ",")
+    rows = numbered_lines(spark, path).select(F.col("n").cast("int").alias("idx"), F.trim(F.get(parts, F.lit(0))).alias("sample"), F.upper(F.trim(F.get(parts, F.lit(1)))).alias("barcode"))
+    return rows.where("sample <> '' AND barcode <> ''")
+
+
+def platform(file: Column, preview: Column) -> Column:
+    """sanger, illumina, nanopore, pacbio or unknown, from a file's name and its first lines. Null: unknown."""
+    head = F.array_join(F.slice(F.split(F.coalesce(preview, F.lit("")), r"\r?\n"), 1, 8), "\n")
+    start = F.ltrim(F.regexp_replace(head, r"^\s+", ""))
+    found = F.when(head.startswith("ABIF") | F.lower(file).rlike(r"\.(ab1|scf)$"), "sanger")
+    found = found.when(head.rlike(r"^@\S+:\d+:\S+:\d+:\d+:\d+:\d+\s+\d:[YN]:\d+:"), "illumina")
+    found = found.when(F.contains(head, F.lit("runid=")) & (F.contains(head, F.lit(" ch=")) | F.contains(head, F.lit("read="))), "nanopore")
+    return found.when(head.rlike(r"[@>]\S+/\d+/(\d+_\d+|ccs)\b"), "pacbio").when(start.startswith("@"), "illumina").otherwise("unknown")
 
 
 TRACE = StructType().add("bases", StringType()).add("quality_scores", ArrayType(IntegerType()))
@@ -74,6 +132,15 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", parse("content").alias("t")).select("path", "t.*")
 
 
+def sanger_reads(traces: DataFrame) -> DataFrame:
+    """(path, sequence, quality_scores) of (path, bases, quality_scores): trimmed to the best stretch at Q20, sanitized;
+    qualities go where that changes the length. Files without bases are left out."""
+    cut = traces.where("bases is not null").withColumn("m", F.when(F.size("quality_scores") > 0, mott_interval(F.col("quality_scores"))))
+    start, end = F.coalesce(F.col("m.start"), F.lit(0)), F.coalesce(F.col("m.end"), F.length("bases"))
+    cut = cut.select("path", F.substring(F.col("bases"), start + 1, end - start).alias("raw"), F.slice("quality_scores", start + 1, end - start).alias("q")).withColumn("sequence", sanitize(F.col("raw")))
+    return cut.select("path", "sequence", F.when(F.length("sequence") == F.size("q"), F.col("q")).alias("quality_scores"))
+
+
 def fasta_text(records: DataFrame) -> DataFrame:
     """One column ``value`` for ``write.text``: a FASTA record of each (name, description, sequence)."""
     return records.select(F.concat(F.lit(">"), F.concat_ws(" ", "name", F.when(F.col("description") != "", F.col("description"))), F.lit("\n"), "sequence").alias("value"))
@@ -83,3 +150,15 @@ def fastq_text(reads: DataFrame) -> DataFrame:
     """One column ``value``: a FASTQ record of each (name, sequence, quality_scores)."""
     quality = F.array_join(F.transform("quality_scores", lambda q: F.char(q + 33)), "")
     return reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "sequence", F.lit("\n+\n"), quality).alias("value"))
+
+
+def report_text(table: DataFrame, title: str, order: str) -> DataFrame:
+    """(line, value): a table as aligned text, columns as wide as their longest value and two blanks, between rules of 70
+    signs; rows by ``order``. The widths are one summary row; lines are numbered within the table's own sort."""
+    names = table.columns
+    text = table.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names), F.col(order).alias("_order"))
+    widths = text.agg(*(F.coalesce(F.max(F.length(c)), F.lit(0)).alias(c) for c in names)).first()
+    wide = {c: max(widths[c], len(c)) + 2 for c in names}
+    head = ["=" * 70, title.upper(), "=" * 70, "".join(c.ljust(wide[c]) for c in names), "-" * sum(wide.values())]
+    rows = text.select((F.row_number().over(Window.orderBy("_order")) + len(head) - 1).cast("int").alias("line"), F.concat(*(F.rpad(c, wide[c], " ") for c in names)).alias("value"))
+    return table.sparkSession.createDataFrame(list(enumerate(head)), "line int, value string").unionByName(rows)
