@@ -82,7 +82,8 @@ def trim(reads: DataFrame, adapter: str = ADAPTER, probe: int = 12, window: int
         F.when(long, F.expr(f"substring(seq, {head + 1}, length(seq) - {head + tail})")).otherwise(F.col("seq")).alias("seq"),
         F.when(long, F.slice("qual", F.lit(head + 1), F.greatest(F.size("qual") - (head + tail), F.lit(0)))).otherwise(F.col("qual")).alias("qual"),
     )
-    cut = hard.withColumn("a", adapter_cut(F.col("seq"), adapter, probe)).withColumn("q", F.slice("qual", F.lit(1), F.col("a")))
+    cut = hard.withColumn("a", adapter_cut(F.col("seq"), adapter, probe))
+    cut = cut.withColumn("q", F.explode_outer(F.array(F.slice("qual", F.lit(1), F.col("a")))))  # made once, not for each window
     cut = cut.withColumn("keep", F.when(F.col("qual").isNull(), F.col("a")).otherwise(window_cut(F.col("q"), window, least)))
     n = F.col("keep")
     rules = [(F.col("hard"), "hard"), (F.col("a") < F.length("seq"), "adapter"), (n < F.col("a"), "low_quality"), (n < min_length, "too_short")]
