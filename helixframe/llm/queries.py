@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from helixframe.llm.centroid_clustering import cluster, clustering_sql
 from helixframe.llm.common import read
 from helixframe.llm.decontamination import DECONTAMINATION_SQL, contaminated
+from helixframe.llm.embedding_dedup import near_duplicates as near_vectors
 from helixframe.llm.html_text import extract
+from helixframe.llm.importance_resampling import resample
 from helixframe.llm.license_scan import license_sql, scan, templates_table
 from helixframe.llm.line_dedup import dedup_lines
 from helixframe.llm.packing import pack
@@ -63,6 +66,25 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+#: Components by taking the smallest id over the links again and again, as a recursive union of reachable ids.
+EMBEDDING_DEDUP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id)::BIGINT AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id
+"""
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -104,9 +126,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"), templates_table(spark))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed="7")
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_benchmark_decontamination, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_benchmark_decontamination, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_license_scan, op11_centroid_clustering, op12_importance_resampling, op13_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules_sql(), "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op9_substring_dedup": SUBSTRING_DEDUP_SQL, "op10_license_scan": license_sql()}
+    return {"op3_quality_rules": rules_sql(), "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op9_substring_dedup": SUBSTRING_DEDUP_SQL, "op10_license_scan": license_sql(), "op11_centroid_clustering": clustering_sql(), "op13_embedding_near_dedup": EMBEDDING_DEDUP_SQL}
