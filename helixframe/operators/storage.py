@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to four tasks a core, or spark.sql.shuffle.partitions if that is more.
+
+    For work that weighs far more than its input: adaptive execution would join small partitions by their bytes, and leave
+    most cores idle.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below spark.checkpoint.dir and read it back: cuts the lineage, survives lost executors.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import LOWER, UPPER, ascii_upper
 from helixframe.functions.tables import RESIDUES
+from helixframe.operators.storage import spread
 
 #: Each letter folded to a base, A, C, G and T to themselves.
 FOLD = "ACCTATGACTACGTACGTATGCACGT"[:26]
@@ -27,8 +28,8 @@ def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly to tasks, for work that weighs more than moving its input; adaptive execution sets their number."""
-    return df.repartition("doc_id")
+    """Rows dealt evenly to tasks, for work that weighs more than moving its input."""
+    return spread(df, "doc_id")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
