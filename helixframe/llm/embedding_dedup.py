@@ -27,6 +27,8 @@ from helixframe.llm.vectors import as_doubles, vectors
 PREFIX, SHARED = 10, 3
 #: Vectors of a list that one unit compares, and rows of them at a time.
 BLOCK, STRIP = 2048, 256
+#: 64-bit words that a description is folded to, to pass over pairs that cannot share enough points.
+WORDS = 4
 #: Reference points: some 64 vectors for each, within these bounds; chosen from a sample of SAMPLE vectors a point.
 FEWEST, MOST, SAMPLE = 256, 4096, 4
 #: Reference points taken from the data keep at least 60 degrees from each other, so a dense group has one of them.
@@ -77,6 +79,15 @@ def nearest_points(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.concatenate(out).astype(np.int16) if out else np.zeros((0, PREFIX), np.int16)
 
 
+def folded(signatures: np.ndarray) -> np.ndarray:
+    """A bit for each point of a row, its number modulo 64 * WORDS: rows that share points share bits."""
+    out, rows = np.zeros((len(signatures), WORDS), np.uint64), np.arange(len(signatures))
+    for point in signatures.T.astype(np.uint64):
+        at = (point // np.uint64(64)) % np.uint64(WORDS)
+        out[rows, at] |= np.uint64(1) << point % np.uint64(64)
+    return out
+
+
 def compare(one: pd.DataFrame, other: pd.DataFrame | None, point: int, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): places of the links between the vectors of a list's block ``one`` and those of ``other`` (None: within it).
 
@@ -86,12 +97,12 @@ def compare(one: pd.DataFrame, other: pd.DataFrame | None, point: int, dim: int,
     (xa, sa), (xb, sb) = blocks
     lists = PREFIX - SHARED + 1
     pa_, pb = (np.sort(s, axis=1)[:, :lists] for s in (sa, sb))
-    fold = lambda s: np.bitwise_or.reduce(np.uint64(1) << (s.astype(np.uint64) % np.uint64(64)), axis=1)
-    fa, fb = fold(sa), fold(sb)
-    lost = PREFIX - np.bitwise_count(fa).astype(np.int16)  # points of a row that fall on one bit
+    fa, fb = folded(sa), folded(sb)
+    lost = PREFIX - np.bitwise_count(fa).sum(axis=1, dtype=np.int16)  # points of a row that fall on one bit
     links: list[tuple[np.ndarray, np.ndarray]] = []
     for s in range(0, len(xa), STRIP):
-        maybe = np.bitwise_count(fa[s : s + STRIP, None] & fb[None, :]) + lost[s : s + STRIP, None] >= SHARED
+        bits = sum(np.bitwise_count(fa[s : s + STRIP, None, w] & fb[None, :, w]) for w in range(WORDS))
+        maybe = bits + lost[s : s + STRIP, None] >= SHARED
         if other is None:
             maybe &= np.arange(s, min(s + STRIP, len(xa)))[:, None] < np.arange(len(xb))[None, :]
         i, j = np.nonzero(maybe)
