@@ -1,4 +1,4 @@
-"""PCR primers: every start and length, built-in filters first, pairing risks per distinct primer."""
+"""PCR primers: all starts and lengths of a template at once, in arrays."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from helixframe.functions.sequence import gc_content, has_repeat, melting_temperature, reverse_complement
-
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
@@ -64,25 +62,109 @@ def cross_dimers(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 cross_dimer = F.pandas_udf(cross_dimers, DoubleType())
-hairpin_risk = F.pandas_udf(hairpins, DoubleType())
-self_dimer = F.pandas_udf(self_dimers, DoubleType())
+
+# What a score loses a percent of GC outside its range, a degree outside its range, and for the two risks.
+GC_RANGE, GC_LOSS, TM_RANGE, TM_LOSS, HAIRPIN_LOSS, DIMER_LOSS = (40.0, 60.0), 1.5, (55.0, 65.0), 1.2, 30, 20
+GC_LIMITS, LEAST_SCORE, REPEAT, LOOP = (30, 70), 40, 5, 3
+_TURN = np.arange(256, dtype=np.uint8)
+_TURN[list(b"ACGT")] = list(b"TGCA")
+
+
+class Windows:
+    """Pairing of a template's windows with themselves, each length from the one shorter by two, for all starts at once.
+
+    A primer that lies on itself at some shift pairs its letters around one centre, and so does each window around that
+    centre: ``paired[n]`` counts the letters of each window of n that stand against their complement, ``run[n]`` has the
+    longest run of them. A primer's risks are the greatest of the windows that share one of its ends.
+    """
+
+    def __init__(self, letters: np.ndarray, longest: int) -> None:
+        size, turned = len(letters), _TURN[letters]
+        self.letters, self.turned = letters, turned
+        self.paired, self.run = {0: np.zeros(size + 1, np.int8)}, {0: np.zeros(size + 1, np.int8)}
+        edge = {0: np.zeros(size + 1, np.int8)}
+        for n in range(1, min(longest, size) + 1):
+            ends = letters[: size - n + 1] == turned[n - 1 :]
+            if n == 1:
+                self.paired[1], edge[1], self.run[1] = (ends.astype(np.int8) for _ in range(3))
+                continue
+            inner = slice(1, size - n + 2)
+            own = edge[n - 2][inner]
+            self.paired[n] = self.paired[n - 2][inner] + 2 * ends.astype(np.int8)
+            edge[n] = np.where(ends, np.where(own == n - 2, n, own + 1), 0).astype(np.int8)
+            self.run[n] = np.maximum(self.run[n - 2][inner], edge[n])
+
+    def dimers(self, n: int) -> np.ndarray:
+        """Most letters of each window of n that pair with the window itself at one shift."""
+        count, best = len(self.letters) - n + 1, np.zeros(len(self.letters) - n + 1, np.int8)
+        for k in range(1, n + 1):
+            np.maximum(best, self.paired[k][:count], out=best)
+            np.maximum(best, self.paired[k][n - k : n - k + count], out=best)
+        return best
+
+    def hairpins(self, n: int) -> np.ndarray:
+        """Longest run of each window of n, from no later than its fourth letter from the end, that pairs with the window
+        more than LOOP letters off."""
+        count, best = len(self.letters) - n + 1, np.zeros(len(self.letters) - n + 1, np.int8)
+        for k in range(1, n - LOOP):
+            np.maximum(best, self.run[k][:count], out=best)
+            if k >= 7:  # shorter windows at the end may hold runs that begin too late only
+                np.maximum(best, self.run[k][n - k : n - k + count], out=best)
+        for k in range(4, min(7, n - LOOP)):
+            first, run = n - k, np.zeros(count, np.int8)
+            for x in range(k - 1, -1, -1):
+                here = self.letters[first + x : first + x + count] == self.turned[n - 1 - x : n - 1 - x + count]
+                run = np.where(here, run + 1, 0).astype(np.int8)
+                if x <= k - 4:
+                    np.maximum(best, run, out=best)
+        return best
+
+
+def best_primers(template: str, shortest: int, longest: int, top: int) -> list[tuple[int, str, float, float, float]]:
+    """(start, primer, gc, tm, score) of the ``top`` acceptable primers; ties by start, then length."""
+    letters = np.frombuffer(template.encode("latin-1", "replace"), np.uint8)
+    if len(letters) < shortest:
+        return []
+    windows, found = Windows(letters, min(longest, len(letters))), []
+    strong = np.concatenate([[0], np.cumsum(np.isin(letters, list(b"GC")))])
+    weak = np.concatenate([[0], np.cumsum(np.isin(letters, list(b"AT")))])
+    same = np.concatenate([[0], np.cumsum([0] if len(letters) < 2 else [*(letters[1:] == letters[:-1]) & np.isin(letters[1:], list(b"ACGT")), False])])
+    five = np.concatenate([[0], np.cumsum(same[REPEAT - 1 :] - same[: len(same) - REPEAT + 1] == REPEAT - 1)])  # runs that begin before each place
+    off = lambda x, bounds: np.maximum(np.maximum(bounds[0] - x, x - bounds[1]), 0.0)
+    for n in range(shortest, min(longest, len(letters)) + 1):
+        count = strong[n:] - strong[:-n]
+        gc = count * 100.0 / n
+        tm = 81.5 + 0.41 * gc - 675.0 / n if n >= 14 else 2.0 * (weak[n:] - weak[:-n]) + 4.0 * count
+        last = np.minimum(np.arange(len(count)) + max(0, n - REPEAT + 1), len(five) - 1)
+        repeated = five[last] - five[np.minimum(np.arange(len(count)), len(five) - 1)] > 0 if n >= REPEAT else np.zeros(len(count), bool)
+        score = 100 - GC_LOSS * off(gc, GC_RANGE) - TM_LOSS * off(tm, TM_RANGE) - HAIRPIN_LOSS * (windows.hairpins(n) / n) - DIMER_LOSS * (windows.dimers(n) / n)
+        score = np.clip(score, 0.0, 100.0)
+        at = np.flatnonzero((gc >= GC_LIMITS[0]) & (gc <= GC_LIMITS[1]) & ~repeated & (score >= LEAST_SCORE))
+        if len(at) > top:  # at most those that can be among the best, ties included
+            at = at[score[at] >= np.partition(score[at], len(at) - top)[len(at) - top]]
+        found += zip((-score[at]).tolist(), at.tolist(), [n] * len(at), gc[at].tolist(), tm[at].tolist(), strict=True)
+    return [(start, template[start : start + n], gc, tm, -worse) for worse, start, n, gc, tm in sorted(found)[:top]]
 
 
 def candidates(templates: DataFrame, shortest: int = 18, longest: int = 24, top: int = 60) -> DataFrame:
-    """The ``top`` scored primers of each (doc_id, seq): start, primer, strand, gc, tm, score; ties by start and length."""
-    strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))
-    own = templates.select("doc_id", F.explode(strands).alias("s")).select("doc_id", "s.*")
-    grams = F.flatten(F.array(*(F.transform(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1)), lambda p, i: F.struct(i.alias("start"), p.alias("primer"))) for k in range(shortest, longest + 1))))
-    every = own.select("doc_id", "strand", F.explode(grams).alias("g")).select("doc_id", "strand", "g.*")
-    every = every.withColumn("gc", gc_content(F.col("primer"))).where(F.col("gc").between(30, 70) & ~has_repeat(F.col("primer"))).withColumn("tm", melting_temperature(F.col("primer")))
-    off = lambda c, a, b: F.greatest(F.lit(a) - F.col(c), F.col(c) - F.lit(b), F.lit(0.0))
-    scored = every.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - 1.5 * off("gc", 40.0, 60.0) - 1.2 * off("tm", 55.0, 65.0) - 30 * hairpin_risk("primer") - 20 * self_dimer("primer")))).where("score >= 40")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "strand").orderBy(F.desc("score"), "start", F.length("primer")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    """The ``top`` scored primers of each strand of each (doc_id, seq): start, primer, gc, tm, score, rank; ties by start
+    and length. Null, empty and short templates have none. Worked row by row in Arrow batches, linear in a template."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, seq in zip(frame["doc_id"], frame["seq"], strict=True):
+                for strand, text in (("+", seq or ""), ("-", (seq or "")[::-1].translate(_COMPLEMENT))):
+                    rows += [(doc_id, strand, *found, rank) for rank, found in enumerate(best_primers(text, shortest, longest, top), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "strand", "start", "primer", "gc", "tm", "score", "rank"])
+
+    own = templates.select("doc_id", F.col("seq").cast("string").alias("seq"))
+    return own.mapInPandas(run, "doc_id long, strand string, start int, primer string, gc double, tm double, score double, rank int")
 
 
 def primer_pairs(templates: DataFrame, shortest_product: int = 100, longest_product: int = 1000, top: int = 10) -> DataFrame:
-    """The ``top`` pairs of each template: product within bounds, melting points within five degrees."""
+    """The ``top`` pairs of each template: product within bounds, melting points within five degrees. Scores that agree to
+    nine places tie."""
     c = candidates(templates).join(templates.select("doc_id", F.length("seq").alias("n")), "doc_id")
     f = c.where("strand = '+'").select("doc_id", F.col("start").alias("f_start"), F.col("primer").alias("forward"), F.col("tm").alias("f_tm"), F.col("score").alias("f_score"))
     r = c.where("strand = '-'").select("doc_id", (F.col("n") - F.col("start")).alias("r_end"), F.col("primer").alias("reverse"), F.col("tm").alias("r_tm"), F.col("score").alias("r_score"))
@@ -93,7 +175,7 @@ def primer_pairs(templates: DataFrame, shortest_product: int = 100, longest_prod
     # Dimers take up to 15 points: what is 15 below the last of the best cannot come among them.
     pairs = pairs.withColumn("product", product).withColumn("base", base).withColumn("place", F.row_number().over(own))
     least = F.min(F.when(F.col("place") <= top, F.col("base"))).over(Window.partitionBy("doc_id")) - 15
-    near = pairs.withColumn("least", least).where("base >= least").drop("least", "place")
+    near = pairs.withColumn("least", least).where("base >= least - 1e-6").drop("least", "place")
     scored = near.withColumn("pair_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") - 15 * cross_dimer("forward", "reverse")))).drop("base")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pair_score"), "f_start", "r_end", "forward", "reverse"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("pair_score", 9)), "f_start", "r_end", "forward", "reverse"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
