@@ -1,3 +1,6 @@
+import random
+import re
+import time
 from itertools import combinations
 
 from pyspark.sql import Row
@@ -27,3 +30,45 @@ def test_empty_tables(spark):
     empty_docs, empty_bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert contaminated(empty_docs, spark.createDataFrame([Row(item_id=1, text="a b")])).collect() == []
     assert contaminated(spark.createDataFrame([Row(doc_id=1, text="a b")]), empty_bench).collect() == []
+
+
+def plain(docs, bench):
+    """All diagonals of all pairs."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    out = set()
+    for d, text in docs:
+        for i, item in bench:
+            dw, iw, best = words(text), words(item), None
+            for start in range(-len(iw) + 1, len(dw)) if iw else ():
+                equal = [start + j in range(len(dw)) and dw[start + j] == w for j, w in enumerate(iw)]
+                inside = [e for j, e in enumerate(equal) if 0 <= start + j < len(dw)]
+                good = all(equal) if len(iw) < WINDOW else any(sum(inside[k : k + WINDOW]) >= NEEDED for k in range(len(inside) - WINDOW + 1))
+                if good and (best is None or (sum(equal), -start) > best):
+                    best = (sum(equal), -start)
+            if best:
+                out.add((d, i, len(iw), best[0], -best[1]))
+    return sorted(out)
+
+
+def test_all_diagonals(spark):
+    """Texts of few words, which meet items at many places, against all diagonals; cut in rows of any number of starts."""
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcde")
+    bench = [(k, " ".join(word() for _ in range(rng.choice([1, 2, 5, 12, 13, 14, 30])))) for k in range(14)]
+    docs = [(k, " ".join(word() for _ in range(rng.choice([0, 3, 13, 40, 90])))) for k in range(25)]
+    docs += [(100, bench[5][1] + " x " + bench[6][1]), (101, " ".join(["a"] * 60)), (102, "a b c d e f g " * 9)]
+    bench += [(50, "a b c d e f g " * 3), (51, " ".join(["a"] * 20))]
+    for most, starts in ((1_000_000, 1024), (0, 3)):
+        got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), most, starts).collect()
+        assert sorted(map(tuple, got)) == plain(docs, bench)
+
+
+def test_repetitive_texts_in_time(spark):
+    """20,000 words in a cycle of 14 against 200 items of 43 such words: 4 million places to judge."""
+    cycle = [f"w{k}" for k in range(14)]
+    docs = [(1, " ".join(cycle[k % 14] for k in range(20_000))), (2, "other text")]
+    bench = [(k, " ".join(cycle[(k + j) % 14] for j in range(43))) for k in range(200)]
+    began = time.perf_counter()
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, k, 43, 43, k % 14) for k in range(200)]
+    assert time.perf_counter() - began < 90  # 4 slow cores; an unbounded reading runs out of memory
