@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +26,10 @@ from helixframe.llm.vectors import as_doubles, vectors
 PREFIX, SHARED = 10, 3
 #: Vectors of a list that one unit compares, and rows of them at a time.
 BLOCK, STRIP = 2048, 256
+#: A unit is a pair of blocks of one list; what a row brings to it.
+KEYS, ROWS = ("label", "dim", "point", "first", "second"), ("id", "side", "copies", "cell", "signature")
+#: Unit vectors and descriptions of a block.
+Block = tuple[np.ndarray, np.ndarray]
 #: 64-bit words that a description is folded to, to pass over pairs that cannot share enough points.
 WORDS = 4
 #: Reference points: some 64 vectors for each, within these bounds; chosen from a sample of SAMPLE vectors a point.
@@ -88,13 +91,12 @@ def folded(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare(one: pd.DataFrame, other: pd.DataFrame | None, point: int, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(one: Block, other: Block | None, point: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): places of the links between the vectors of a list's block ``one`` and those of ``other`` (None: within it).
 
     A pair that also meets in the list of a smaller point is left to that one.
     """
-    blocks = [(np.stack([unit(c, dim) for c in b["cell"]]), np.stack([np.frombuffer(s, np.int16) for s in b["signature"]])) for b in (one, one if other is None else other)]
-    (xa, sa), (xb, sb) = blocks
+    (xa, sa), (xb, sb) = one, one if other is None else other
     lists = PREFIX - SHARED + 1
     pa_, pb = (np.sort(s, axis=1)[:, :lists] for s in (sa, sb))
     fa, fb = folded(sa), folded(sb)
@@ -126,21 +128,46 @@ def compare(one: pd.DataFrame, other: pd.DataFrame | None, point: int, dim: int,
 
 
 def _unit_links(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        one, other = group[group["side"] == 0], group[group["side"] == 1]
-        dim, within = int(group["dim"].iloc[0]), group["first"].iloc[0] == group["second"].iloc[0]
-        if not within and (one.empty or other.empty):
-            return pd.DataFrame({"id": [], "links": [], "joined": []})
-        i, j = compare(one, None if within else other, int(group["point"].iloc[0]), dim, threshold)
-        both = one if within else pd.concat([one, other])
-        j = j if within else j + len(one)
-        ids, copies = both["id"].to_numpy(), both["copies"].to_numpy()
+    """Batches of rows sorted by unit to a row for each class that links in its unit; one unit is held at a time."""
+
+    def links_of(rows: dict[str, list], within: bool, point: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, copies, side = (np.array(rows[c], np.int64) for c in ("id", "copies", "side"))
+        vectors, signatures = np.stack([unit(c, dim) for c in rows["cell"]]), np.frombuffer(b"".join(rows["signature"]), np.int16).reshape(-1, PREFIX)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if within:
+            i, j = compare((vectors, signatures), None, point, threshold)
+        elif len(first) and len(second):
+            i, j = compare((vectors[first], signatures[first]), (vectors[second], signatures[second]), point, threshold)
+            i, j = first[i], second[j]
+        else:
+            i = j = np.zeros(0, np.int64)
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
         label = _components(len(ids), i, j, np.arange(len(ids)))
         at = np.flatnonzero(links)
-        return pd.DataFrame({"id": ids[at], "links": links[at], "joined": ids[label[at]]})
+        return ids[at], links[at], ids[label[at]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {c: [] for c in ROWS}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held["id"]) > 1:
+                found = links_of(held, key[3] == key[4], key[2], key[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "links", "joined"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEYS), strict=True))
+            edges = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+            own = {c: batch.column(c).to_pylist() for c in ROWS}
+            for start, end in zip([0, *edges], [*edges, len(keys)], strict=True):
+                if start < end:
+                    if keys[start] != key:
+                        yield from done()
+                        key, held = keys[start], {c: [] for c in ROWS}
+                    for c in ROWS:
+                        held[c] += own[c][start:end]
+        yield from done()
 
     return run
 
@@ -186,8 +213,9 @@ def class_links(classes: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     listed = listed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = listed.select("*", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
-    grouped = units.select("id", *by_list, "first", "second", "side", "copies", "cell", "signature").groupBy(*by_list, "first", "second")
-    return grouped.applyInPandas(_unit_links(threshold), "id long, links long, joined long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # work outweighs bytes
+    dealt = units.select(*KEYS, *ROWS).repartition(tasks, *KEYS).sortWithinPartitions(*KEYS)
+    return dealt.mapInArrow(_unit_links(threshold), "id long, links long, joined long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
