@@ -47,9 +47,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written, with a number of each row in ``ROW``: rows that agree in all columns stay apart."""
-    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+def unused(names: list[str], base: str) -> str:
+    """``base``, with as many underscores after it as make it none of ``names``."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def numbered(df: DataFrame, name: str, row: str = ROW) -> DataFrame:
+    """``df``, written, with a number of each row in ``row``: rows that agree in all columns stay apart."""
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name)
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:

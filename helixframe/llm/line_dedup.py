@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_batches, materialise
+from helixframe.llm.common import map_batches, materialise, unused
 
 #: Keys wanted in a shard's filter: bounds a task's memory at any size of the corpus.
 SHARD_KEYS = 1 << 16
@@ -244,15 +244,16 @@ def _kept(text: bytes | None, dropped: set[bytes]) -> tuple[int, int, bytes]:
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def _with_frequent_lines(docs: DataFrame, threshold: int) -> DataFrame:
-    """The rows of ``docs`` with ``_dropped``: the digests that the row's text loses (null: none).
+def _with_frequent_lines(docs: DataFrame, threshold: int, dropped: str) -> DataFrame:
+    """The rows of ``docs`` with ``dropped``: the digests that the row's text loses (null: none).
 
     The join goes by a hash of doc_id and text, so a null or repeated doc_id is a row like any other; where two rows
     share a hash, each gets the frequent digests of both, and its own lines still decide.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    frequent = frequent_line_docs(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold)
-    return keyed.join(frequent.select(F.col("doc_id").alias("_key"), F.col("dropped").alias("_dropped")), "_key", "left").drop("_key")
+    key = unused([*docs.columns, dropped], "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    frequent = frequent_line_docs(keyed.select(F.col(key).alias("doc_id"), "text"), threshold)
+    return keyed.join(frequent.select(F.col("doc_id").alias(key), F.col("dropped").alias(dropped)), key, "left").drop(key)
 
 
 def frequent_line_docs(docs: DataFrame, threshold: int = 10) -> DataFrame:
@@ -284,17 +285,17 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, with_text: bool = False) -
             columns, names = [*columns, pa.array(texts, pa.string())], [*names, "text"]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(_with_frequent_lines(_text(docs), threshold), run, schema)
+    return map_batches(_with_frequent_lines(_text(docs), threshold, "_dropped"), run, schema)
 
 
 def without_frequent_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """The rows of ``docs``, each once and with all its columns, the text as ``dedup_lines`` keeps it."""
-    names = docs.columns
+    names, dropped = docs.columns, unused(docs.columns, "_dropped")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = zip(batch.column("text").to_pylist(), batch.column("_dropped").to_pylist(), strict=True)
+        pairs = zip(batch.column("text").to_pylist(), batch.column(dropped).to_pylist(), strict=True)
         texts = pa.array([None if t is None else _kept(t, set(d or ()))[2].decode() for t, d in pairs], pa.string())
         return pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
 
-    rows = _with_frequent_lines(docs, threshold).withColumn("text", F.col("text").cast("string").cast("binary"))
+    rows = _with_frequent_lines(docs, threshold, dropped).withColumn("text", F.col("text").cast("string").cast("binary"))
     return map_batches(rows, run, docs.withColumn("text", F.col("text").cast("string")).schema)

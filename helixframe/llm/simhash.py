@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ROW, map_batches, materialise, numbered, without
+from helixframe.llm.common import ROW, map_batches, materialise, numbered, unused, without
 
 #: Fingerprints wanted in a subtrie, and how many make it hot: families of near copies share their first bits. A hot one
 #: is dealt again by all 32 bits of the upper half, so a task holds what shares these but for one bit.
@@ -194,11 +194,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     A null doc_id counts as larger than any other; of several rows with the smallest one stays. Null and empty texts have
     fingerprint zero and are one group; extra columns stay; an empty table gives an empty result.
     """
-    rows = numbered(docs, "rows")
-    prints = materialise(fingerprints(rows, ROW), "fingerprints")
+    row = unused(docs.columns, ROW)
+    rows = numbered(docs, "rows", row)
+    prints = materialise(fingerprints(rows.select("doc_id", "text", F.col(row).alias(ROW)), ROW), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
     chosen = _rooted(prints, order).groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return without(rows, prints.select(ROW).join(chosen, ROW, "left_anti"), ROW).select(docs.columns)
+    return without(rows, prints.select(ROW).join(chosen, ROW, "left_anti").withColumnRenamed(ROW, row), row).select(docs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

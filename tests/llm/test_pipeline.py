@@ -82,3 +82,18 @@ def test_pipeline_agrees_with_brute_force_on_null_and_repeated_ids(spark, tmp_pa
     got = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want
     assert sum(k[0] is None for k in want.elements()) >= 6 and want.total() < len(docs)
+
+
+def test_stages_on_tables_with_their_own_names(spark, tmp_path):
+    """Every filtering stage returns all columns as they were, whatever they are called."""
+    names = ["_row", "_key", "_dropped", "_row_", "key", "fp", "first", "root", "item", "seed", "at", "start", "words", "salt", "digest", "shard", "dropped", "score", "predicted", "quality", "node", "n", "rank", "kept"]
+    docs, labels, benchmark = tables()
+    rows = [(i, t, *(f"{c}{k}" for c in names)) for k, (i, t) in enumerate(docs)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    there = {tuple(r)[2:] for r in table.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        kept = [tuple(r[c] for c in names) for r in out.select(names).collect()]
+        assert set(out.columns) - {"n_chars"} == set(table.columns) and set(kept) <= there and len(kept) == len(set(kept)) >= 60, name
