@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import queries as llm
-from helixframe.llm.common import ROW, materialise, numbered, read, without
+from helixframe.llm.common import ROW, materialise, numbered, read, unused, without
 from helixframe.llm.decontamination import contaminated
 from helixframe.llm.line_dedup import without_frequent_lines
 from helixframe.llm.packing import pack
@@ -51,9 +51,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Rows are judged by their own text, null and repeated ids too; null and empty texts hold nothing and stay; without a
     benchmark all rows stay; an empty table stays empty.
     """
-    rows = numbered(docs, "rows")
-    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    return without(rows, found.select(F.col("doc_id").alias(ROW)), ROW).select(docs.columns)
+    row = unused(docs.columns, ROW)
+    rows = numbered(docs, "rows", row)
+    found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return without(rows, found.select(F.col("doc_id").alias(row)), row).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
