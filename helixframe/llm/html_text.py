@@ -24,15 +24,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg object xmp".split())
 #: Of these one without an end tag takes the rest of the page; any other RAW tag without one is left out alone.
 TO_THE_END = frozenset("script style textarea title xmp".split())
-BOILERPLATE = frozenset("nav footer aside form button select dialog menu head annotation annotation-xml".split())
+BOILERPLATE = frozenset("nav select menu head annotation annotation-xml".split())
+#: What is boilerplate unless it holds the text: a form or dialog around the article, an aside that is most of its article.
+AROUND, BESIDE = frozenset("form dialog button".split()), frozenset("aside footer".split())
 BLOCKS = frozenset("address article blockquote body caption dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What stays where it stands between chosen siblings.
 BETWEEN = HEADINGS | frozenset("p ul ol dl pre table blockquote figure".split())
-#: A text shorter than this is taken again without the rule on names, and the second kept if it is so many times longer.
-SHORT, LONGER = 250, 3
 #: Which open elements an opening tag ends, up to the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -47,32 +47,40 @@ _UNLIKELY = frozenset(
 #: Words that do so only in a name of such words alone (related, related-posts; but not related-work, content-header).
 _ALONE = frozenset("banner notice notices alert side header share social related search tags byline replies respond".split())
 _BESIDE = _UNLIKELY | _ALONE | frozenset("list box bar section area wrap wrapper container block inner item items links posts articles stories pages buttons icons site page main top bottom left right global more form".split())
+#: Of these a paragraph's or heading's class says that it is an advert; other words say nothing of it in an article.
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promoted".split())
+#: In an article a name counts if it is made of such words alone (post-comments; but not code-widget, login-guide).
+_WITHIN = _BESIDE | frozenset("post article entry blog user reader content single list-item".split())
 #: Words that turn the meaning of the next (no-sidebar: a layout's name).
 _TURNS = frozenset("no not has with without hide show".split())
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def _unlikely(names: str) -> bool:
+def _unlikely(names: str, words_that_count: frozenset[str] = _UNLIKELY, article: bool = False) -> bool:
     for name in re.split(r"\s+", names.lower()):
         words = [w for w in re.split(r"[_-]+", name) if w]
+        if article and not all(w in _WITHIN for w in words):
+            continue
         for k, w in enumerate(words):
-            if w in _UNLIKELY and not (k and words[k - 1] in _TURNS):
+            if w in words_that_count and not (k and words[k - 1] in _TURNS):
                 return True
-        if any(w in _ALONE for w in words) and all(w in _BESIDE for w in words):
+        if words_that_count is _UNLIKELY and any(w in _ALONE for w in words) and all(w in _BESIDE for w in words):
             return True
     return False
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "linked", "commas", "named", "block", "article")
+    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "linked", "commas", "named", "block", "article", "within")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.parts: list[Element | str] = []
         self.points, self.chars, self.linked, self.commas, self.named = 0.0, 0, 0, 0, False
         self.article: bool = tag in ("article", "main") or (parent is not None and parent.article)
+        #: The nearest article or main above, or the root.
+        self.within: Element = self if parent is None else parent if parent.tag in ("article", "main") else parent.within
         #: The nearest block at or above.
         self.block = self if parent is None or tag in BLOCKS or tag in ("button", "object") else parent.block
 
@@ -137,11 +145,13 @@ def parse(html: str) -> tuple[Element, list[Element]]:
         if tag in VOID:
             here.parts.append(Element("hr", here, False) if tag == "hr" else " ")
             continue
-        inside = here.dropped or tag in BOILERPLATE or (tag == "header" and not up.last(("article", "main")))
-        named = False
+        inside = here.dropped or tag in BOILERPLATE or (tag in BESIDE and not here.article) or (tag == "header" and not up.last(("article", "main")))
+        named = tag in AROUND or tag in BESIDE
         if not inside and m[3] and tag not in ("body", "article", "main"):
-            names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3]))
-            named, inside = bool(names and _unlikely(names)), bool(_HIDDEN.search(m[3]))
+            own = here.article and (tag in PARAGRAPHS or tag == "section")
+            names = " ".join(x or y or z for kind, x, y, z in _NAMES.findall(m[3]) if not (own and kind.lower() == "id"))
+            named |= bool(names and _unlikely(names, _ADVERTS if own and tag != "section" else _UNLIKELY, here.article))
+            inside = bool(_HIDDEN.search(m[3]))
         node = Element(tag, here, inside)
         node.named = named
         here.parts.append(node)
@@ -159,14 +169,16 @@ def _end_of(tag: str) -> re.Pattern:
 
 
 def _drop_named(every: list[Element]) -> bool:
-    """Drop what its names call no article; tells whether anything went. To be measured anew after that.
+    """Drop what its names or tag call no article; tells whether anything went. To be measured anew after that.
 
-    Kept are elements that hold an article or main, and, unless half of their text stands in links, headings, elements
-    that hold an h1 and those with half of the page's text.
+    Kept are elements that hold an article or main (an aside or footer does not by that), and, unless half of their text
+    stands in links, headings, elements that hold an h1 and those with half of the article's text, or of the page's where
+    they stand in none; a form or dialog beside an article goes.
     """
     if not any(n.named and not n.dropped for n in every):
         return False
     holds, titled = set(), set()
+    somewhere = any(n.tag in ("article", "main") and n.chars and not n.dropped for n in every)
     for node in every:
         if not node.dropped and node.tag in ("article", "main", "h1"):
             up, found = node.parent, titled if node.tag == "h1" else holds
@@ -176,9 +188,10 @@ def _drop_named(every: list[Element]) -> bool:
     for node in every:
         if node.parent is not None and node.parent.dropped:
             node.dropped = True
-        elif node.named and not node.dropped and id(node) not in holds:
-            main = node.tag in HEADINGS or id(node) in titled or 2 * node.chars > every[0].chars
-            node.dropped = not main or 2 * node.linked >= node.chars
+        elif node.named and not node.dropped and (id(node) not in holds or node.tag in BESIDE):
+            main = node.tag in HEADINGS or (id(node) in titled and node.tag not in AROUND | BESIDE) or 2 * node.chars > node.within.chars
+            beside = node.tag in AROUND and somewhere and not node.article
+            node.dropped = not main or beside or 2 * node.linked >= node.chars
     for node in every:
         node.points, node.chars, node.linked, node.commas = 0.0, 0, 0, 0
     return True
@@ -282,12 +295,10 @@ def main_text(html: str | None) -> str:
         return _text_of(every)
     _measure(every)
     text = _text_of(every)
-    if len(text) < SHORT:
+    if not text:  # nothing but what the names call none: then they say nothing
         _, every = parse(html)
         _measure(every)
-        whole = _text_of(every)
-        if len(whole) > LONGER * len(text):
-            return whole
+        text = _text_of(every)
     return text
 
 

@@ -94,3 +94,44 @@ def test_planted_articles():
         wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><div class=post>{}</div></main>", "<div class='has-sidebar'><article class=entry>{}</article></div>"])
         before, after = (" ".join(rng.sample(around, rng.randint(0, 5))) for _ in range(2))
         assert main_text(f"<html><body>{before}{wrap.format(html)}{after}</body></html>") == "\n\n".join(blocks), k
+
+
+def test_forms_around_the_page():
+    """As some servers make them: one form holds everything, with an article or without."""
+    inner = f"<nav><a href=1>x</a></nav><article><h1>Title</h1><p>{LONG}</p><form><input><p>Mail, please.</p></form></article><div class=sidebar><p>Side.</p></div>"
+    assert main_text(f"<body><form id=aspnetForm>{inner}</form></body>") == f"Title\n\n{LONG.strip()}"
+    inner = f"<div id=top><a href=1>x</a> <a href=2>y</a></div><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><form><p>Search, all.</p></form>"
+    assert main_text(f"<body><form>{inner}</form></body>").startswith(f"Title\n\n{LONG.strip()}")
+    assert main_text(f"<body><form><p>{LONG * 3}</p></form><main><p>Short, but the article.</p></main></body>") == "Short, but the article."
+    assert main_text(f"<body><dialog open><article><p>{LONG}</p></article></dialog></body>") == LONG.strip()
+
+
+def test_words_of_names_within_an_article():
+    for part, text in {
+        '<div class="code-widget"><pre>x = 1</pre></div>': "x = 1", '<div class="menu-of-the-day"><p>Soup, bread.</p></div>': "Soup, bread.", "<section id=login-guide><p>Log in.</p></section>": "Log in.",
+        "<section id=cookies><h2>Cookies</h2><p>They are small.</p></section>": "Cookies\n\nThey are small.", "<h2 id=cookies>Cookies</h2>": "Cookies", '<p class="comment">A remark.</p>': "A remark.", '<p class="ad">Buy, now.</p>': "",
+        '<pre class="popup">code</pre>': "code", '<div class="post-comments"><p>Nice, I say.</p></div>': "", '<div id="comments"><p>Nice.</p></div>': "", "<aside><p>By the way.</p></aside>": "", "<footer><p>By me.</p></footer>": "", "<div class=newsletter-signup><p>Mail.</p></div>": "",
+    }.items():
+        assert main_text(ARTICLE.format(part)) == "\n\n".join(x for x in ("Title", "One, two, and three.", text, "Last, not least.") if x), part
+    assert main_text(f"<body><article><aside><h1>T</h1><p>{LONG}</p></aside><p>x</p></article></body>") == f"T\n\n{LONG.strip()}\n\nx"
+
+
+def test_length_switches_no_rule():
+    """The same page at any length of its article: comments by name go, however long they are."""
+    for n in (1, 3, 4, 60):
+        page = f"<body><article><p>{'Word, by word. ' * n}</p></article><div class=comments>{'<p>So nice, so very nice, and so on.</p>' * 40}</div></body>"
+        assert main_text(page) == ("Word, by word. " * n).strip()
+
+
+def test_planted_articles_among_unknown_names():
+    """Boilerplate that none of the code's words names: links, short labels and asides around an article of some length."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioubcdfglmnrst") for _ in range(rng.randint(2, 9)))
+    links = lambda n: "".join(f"<a href='/{word()}'>{word()} {word()}</a> " for _ in range(n))
+    around = [lambda: f"<div class='{word()}'>{links(9)}</div>", lambda: f"<ul id='{word()}'>" + "".join(f"<li>{links(1)}</li>" for _ in range(6)) + "</ul>", lambda: f"<div class='{word()}'><span>{word()}</span> {links(3)}</div>", lambda: f"<form><label>{word()}</label><select><option>{word()}</select></form>"]
+    for k in range(100):
+        blocks = [" ".join(word() for _ in range(rng.randint(12, 60))) + ", and so on, and more." for _ in range(rng.randint(4, 12))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        before, after = ("".join(rng.choice(around)() for _ in range(rng.randint(0, 4))) for _ in range(2))
+        page = f"<html><body><div class='{word()}'>{before}<div class='{word()}'>{body}</div>{after}</div></body></html>"
+        assert main_text(page) == "\n\n".join(blocks), k
