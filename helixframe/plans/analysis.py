@@ -12,6 +12,7 @@ from helixframe.operators import mass_search as ms
 from helixframe.operators import similarity as sim
 from helixframe.operators import targets as tg
 from helixframe.operators import variants as va
+from helixframe.operators.alignment import seed_diagonals
 from helixframe.plans import views
 from helixframe.plans.scalar import ATOMS_SQL, FORMULA_SQL, _mass_case, codons_sql, metabolites
 from helixframe.plans.views import sql
@@ -75,7 +76,7 @@ def p_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_best_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.text_dna(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("seq").alias("a"), F.expr("concat('ACGTT', substring(seq, 9))").alias("b"))
-    return sim.seed_diagonals(pairs, K)
+    return seed_diagonals(views.dealt(pairs.withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "id"), K)
 
 
 def orf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +270,7 @@ SQL = {
     "seed_best_diagonal": sql(
         "text_dna",
         f""", p AS (SELECT doc_id AS id, seq AS a, concat('ACGTT', substr(seq, 9)) AS b FROM v), x AS (SELECT id, i, substr(a, i + 1, {K}) AS k FROM (SELECT id, a, unnest(range(0, length(a) - {K - 1})) AS i FROM p)),
-        y AS (SELECT id, j, substr(b, j + 1, {K}) AS k FROM (SELECT id, b, unnest(range(0, length(b) - {K - 1})) AS j FROM p) QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY j) <= 40),
+        y AS (SELECT id, j, substr(b, j + 1, {K}) AS k FROM (SELECT id, b, unnest(range(0, length(b) - {K - 1})) AS j FROM p)),
         d AS (SELECT id, i - j AS diagonal, count(*) AS seeds, min(i * 1000000 + j) AS f FROM x JOIN y USING (id, k) GROUP BY ALL)
         SELECT id, diagonal::INT AS diagonal, seeds FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY seeds DESC, f) = 1""",
     ),
