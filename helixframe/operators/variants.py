@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helixframe.functions.sequence import translate_codons
 from helixframe.functions.tables import RESIDUES
@@ -19,16 +24,38 @@ def variant_columns(pairs: DataFrame) -> DataFrame:
     return columns.select("id", "pos", "c.ref", "c.alt", F.when((F.col("c.ref") == "-") | (F.col("c.alt") == "-"), "Indel").otherwise("SNP").alias("kind"))
 
 
+KINDS = ("equal", "insertion", "deletion", "substitution")
+_GAP = ord("-")
+
+
+def blocks_of(ref: str, query: str) -> list[tuple[int, str, str, str]]:
+    """(start, ref, alt, kind) of each run of differing columns of one kind of two aligned rows."""
+    r, q = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (ref, query))
+    n = min(len(r), len(q))
+    r, q = r[:n], q[:n]
+    kind = np.where(r == q, 0, np.where(r == _GAP, 1, np.where(q == _GAP, 2, 3)))
+    starts = np.flatnonzero(np.diff(kind, prepend=-1))
+    ends = np.append(starts, n)[1:]
+    before = np.cumsum(r != _GAP) - (r != _GAP)
+    return [(int(before[s]), ref[s:e].replace("-", ""), query[s:e].replace("-", ""), KINDS[kind[s]]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if kind[s]]
+
+
 def mutation_blocks(pairs: DataFrame) -> DataFrame:
-    """(id, start, end, ref, alt, kind): runs of columns of one kind, in bases of the ungapped reference."""
-    zipped = F.zip_with(F.split("ref_aligned", ""), F.split("query_aligned", ""), lambda r, q: F.struct(r.alias("ref"), q.alias("alt")))
-    columns = pairs.select("id", F.posexplode(zipped).alias("pos", "c")).select("id", "pos", "c.*")
-    order = Window.partitionBy("id").orderBy("pos")
-    kind = F.when(F.col("ref") == F.col("alt"), "equal").when(F.col("ref") == "-", "insertion").when(F.col("alt") == "-", "deletion").otherwise("substitution")
-    placed = columns.withColumn("kind", kind).withColumn("at", F.sum(F.when(F.col("ref") != "-", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    opened = placed.withColumn("open", F.when(F.lag("kind").over(order) == F.col("kind"), 0).otherwise(1)).withColumn("block", F.sum("open").over(order)).where("kind <> 'equal'")
-    joined = lambda c: F.replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]), ""), F.lit("-"), F.lit(""))
-    blocks = opened.groupBy("id", "block", "kind").agg(F.min(F.coalesce("at", F.lit(0))).cast("int").alias("start"), joined("ref").alias("ref"), joined("alt").alias("alt"))
+    """(id, start, end, ref, alt, kind, notation): runs of columns of one kind, in bases of the ungapped reference.
+
+    Row by row in Arrow batches, without a shuffle. Null rows have no blocks; of rows of unlike length the shorter counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks_of(r or "", q or "") for r, q in zip(batch.column("r").to_pylist(), batch.column("q").to_pylist(), strict=True)]
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+            cells = list(zip(*(x for f in found for x in f), strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), pa.string(), pa.string()), strict=True))], ["id", "start", "ref", "alt", "kind"])
+
+    rows = pairs.select("id", F.col("ref_aligned").cast("string").alias("r"), F.col("query_aligned").cast("string").alias("q"))
+    schema = StructType([rows.schema["id"], *StructType.fromDDL("start int, ref string, alt string, kind string").fields])
+    blocks = rows.mapInArrow(run, schema)
     end = F.col("start") + F.length("ref")
     one = F.length("ref") == 1
     notation = F.when(F.col("kind") == "substitution", F.concat((F.col("start") + 1).cast("string"), "ref", F.lit(">"), "alt"))
