@@ -6,10 +6,14 @@ searches in their sorted places, so a sequence costs the same few array steps wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from helixframe.functions.tables import CODON_AMINO, CODON_BASES
 
@@ -131,3 +135,40 @@ def coverage(intervals: DataFrame, by: str) -> DataFrame:
 def max_lanes(intervals: DataFrame, by: str) -> DataFrame:
     """(by, lanes): lanes that a drawing without overlaps needs: the greatest depth."""
     return coverage(intervals, by).groupBy(by).agg(F.max("depth").alias("lanes"))
+
+
+class _Lanes:
+    """Lanes of one sequence's intervals in order of their start: a heap of taken lanes by end, one of free lanes."""
+
+    def __init__(self) -> None:
+        self.taken: list[tuple[int, int]] = []
+        self.free: list[int] = []
+
+    def place(self, start: int, end: int) -> int:
+        while self.taken and self.taken[0][0] <= start:
+            heappush(self.free, heappop(self.taken)[1])
+        lane = heappop(self.free) if self.free else len(self.taken)
+        heappush(self.taken, (end, lane))
+        return lane
+
+
+def lanes(intervals: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name, start, end, lane): for each half-open interval the first lane that is free at its start, by start and name.
+
+    Intervals are dealt and sorted by sequence and start, and a task carries the taken lanes from batch to batch, so a
+    sequence of any size needs memory for its greatest depth only. A null start or end has no lane; null sequences are one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, _Lanes()
+        for batch in batches:
+            out = []
+            for at, start, end in zip(*(batch.column(c).to_pylist() for c in (by, "start", "end")), strict=True):
+                if (at,) != key:
+                    key, own = (at,), _Lanes()
+                out.append(None if start is None or end is None else own.place(start, end))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "lane"])
+
+    rows = intervals.select(by, name, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    schema = StructType([*rows.schema.fields, StructField("lane", IntegerType())])
+    return rows.repartition(by).sortWithinPartitions(by, "start", name).mapInArrow(run, schema)

@@ -99,6 +99,11 @@ def max_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.max_lanes(_intervals(spark, sf_dir), "l_orderkey")
 
 
+def lane_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lane of each line of an order in a drawing of its intervals without overlaps."""
+    return an.lanes(_intervals(spark, sf_dir), "l_orderkey", "l_linenumber")
+
+
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as intervals: start from the part, length from the quantity."""
     return views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 100).alias("start"), (F.col("l_partkey") % 100 + F.col("l_quantity").cast("long") + 1).alias("end"))
@@ -213,7 +218,7 @@ def activity_top_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (species_identify_topn, species_confidence, domain_classify, kmer_jaccard_pairs, kmer_classes, kmer_distances, p_distance_matrix, seed_best_diagonal, orf_scan, orf_best_frame, gff3_lines, coverage_depth, max_lanes, interval_overlap, variant_columns, mutation_blocks, mutation_impact, mutation_counts, hydrophilicity_profile, tm_regions, epitope_windows, epitopes_nms, vaccine_targets, mass_search, metabolite_search, library_search, library_sort_topk, lab_codes, fasta_lines, activity_by_module, activity_top_users)
+    for f in (species_identify_topn, species_confidence, domain_classify, kmer_jaccard_pairs, kmer_classes, kmer_distances, p_distance_matrix, seed_best_diagonal, orf_scan, orf_best_frame, gff3_lines, coverage_depth, max_lanes, lane_assignment, interval_overlap, variant_columns, mutation_blocks, mutation_impact, mutation_counts, hydrophilicity_profile, tm_regions, epitope_windows, epitopes_nms, vaccine_targets, mass_search, metabolite_search, library_search, library_sort_topk, lab_codes, fasta_lines, activity_by_module, activity_top_users)
 }
 
 
