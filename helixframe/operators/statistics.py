@@ -30,7 +30,7 @@ def n50(lengths: DataFrame, by: str) -> DataFrame:
 
 
 def composition(sequences: DataFrame) -> DataFrame:
-    """(symbol, n) of all sequences together: counted by sequence first, so that a batch is summed where it lies."""
+    """(symbol, n) of all sequences together: each task counts its own letters before anything is shuffled."""
     symbols = sequences.select(F.explode(F.split("seq", "")).alias("symbol")).where("symbol <> ''")
     return symbols.groupBy("symbol").agg(F.count("*").alias("n"))
 

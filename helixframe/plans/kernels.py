@@ -1,5 +1,5 @@
-"""Queries of alignments, families, folding and primers over whole sequences: without SQL, their kernels are held against
-plain Python in the tests."""
+"""Queries of alignments, families, folding and primers over whole sequences, without SQL: the tests hold alignment, seeds,
+multiple alignment, primers, assembly and the sides of LAMP sets against plain Python."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def _aligned(mode: str, scoring: Scoring) -> Callable[[SparkSession, str], DataF
 
 
 def align_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's residues against those of its sequence's translation, with BLOSUM62."""
+    """Each document's residues against the same without the last three and with I, D and R replaced, with BLOSUM62."""
     proteins = views.dealt(views.text_protein(spark, sf_dir)).selectExpr("doc_id", "seq AS a", "translate(reverse(substr(reverse(seq), 4)), 'IDR', 'VEK') AS b")
     return _rounded(proteins.select("doc_id", align(F.col("a"), F.col("b"), "global", Scoring(gap=-6, matrix="blosum62")).alias("r")).select("doc_id", "r.*"))
 

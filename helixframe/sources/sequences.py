@@ -91,14 +91,47 @@ def barcode_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("sample <> '' AND barcode <> ''")
 
 
+def _all_digits(parts: Column) -> Column:
+    return F.forall(parts, lambda x: x.rlike("^[0-9]+$"))
+
+
+def _illumina_name(name: Column, comment: Column) -> Column:
+    """instrument:run:flowcell:lane:tile:x:y and, after a blank, read:filtered:control:index."""
+    place, read = F.split(name, ":"), F.split(comment, ":")
+    numbers = F.array(F.get(place, F.lit(1)), *(F.get(place, F.lit(k)) for k in range(3, 7)))
+    said = F.array(F.get(read, F.lit(0)), F.get(read, F.lit(2)))
+    return (F.size(place) == 7) & _all_digits(numbers) & (F.size(read) >= 3) & F.get(read, F.lit(1)).isin("Y", "N") & _all_digits(said)
+
+
+def _nanopore_fields(comment: Column) -> Column:
+    """key=value fields, with runid and one of ch and read among the keys."""
+    keys = F.transform(F.split(comment, r"\s+"), lambda x: F.when(F.contains(x, F.lit("=")), F.split_part(x, F.lit("="), F.lit(1))))
+    return F.array_contains(keys, "runid") & F.arrays_overlap(keys, F.array(F.lit("ch"), F.lit("read")))
+
+
+def _pacbio_name(name: Column) -> Column:
+    """movie/hole/start_end of a subread, or movie/hole/ccs of a consensus."""
+    parts = F.split(name, "/")
+    last = F.get(parts, F.lit(2))
+    span = F.split(last, "_")
+    return (F.size(parts) >= 3) & (F.get(parts, F.lit(0)) != "") & _all_digits(F.array(F.get(parts, F.lit(1)))) & ((last == "ccs") | ((F.size(span) == 2) & _all_digits(span)))
+
+
 def platform(file: Column, preview: Column) -> Column:
-    """sanger, illumina, nanopore, pacbio or unknown, from a file's name and its first lines. Null: unknown."""
-    head = F.array_join(F.slice(F.split(F.coalesce(preview, F.lit("")), r"\r?\n"), 1, 8), "\n")
-    start = F.ltrim(F.regexp_replace(head, r"^\s+", ""))
-    found = F.when(head.startswith("ABIF") | F.lower(file).rlike(r"\.(ab1|scf)$"), "sanger")
-    found = found.when(head.rlike(r"^@\S+:\d+:\S+:\d+:\d+:\d+:\d+\s+\d:[YN]:\d+:"), "illumina")
-    found = found.when(F.contains(head, F.lit("runid=")) & (F.contains(head, F.lit(" ch=")) | F.contains(head, F.lit("read="))), "nanopore")
-    return found.when(head.rlike(r"[@>]\S+/\d+/(\d+_\d+|ccs)\b"), "pacbio").when(start.startswith("@"), "illumina").otherwise("unknown")
+    """sanger, illumina, nanopore, pacbio or unknown, from a file's name and the record headers of its first lines.
+
+    Each of the first eight lines that begins a record (@ or >) is parted into its name and comment, which are held
+    against the makers' published forms; FASTQ of no known form counts as illumina. Null: unknown.
+    """
+    lines = F.slice(F.split(F.coalesce(preview, F.lit("")), r"\r?\n"), 1, 8)
+    headers = F.filter(lines, lambda x: x.startswith("@") | x.startswith(">"))
+    name = lambda x: F.substring_index(F.substring(x, F.lit(2), F.length(x)), " ", 1)
+    comment = lambda x: F.ltrim(F.substring(x, F.length(name(x)) + 2, F.length(x)))
+    trace = F.lower(F.substring_index(F.coalesce(file, F.lit("")), ".", -1)).isin("ab1", "scf") & F.contains(F.coalesce(file, F.lit("")), F.lit("."))
+    first = F.get(F.filter(lines, lambda x: F.trim(x) != ""), F.lit(0))
+    kinds = {"sanger": trace | F.get(lines, F.lit(0)).startswith("ABIF"), "illumina": F.exists(headers, lambda x: x.startswith("@") & _illumina_name(name(x), comment(x))), "nanopore": F.exists(headers, lambda x: _nanopore_fields(comment(x))), "pacbio": F.exists(headers, lambda x: _pacbio_name(name(x)))}
+    known = F.coalesce(*(F.when(is_kind, kind) for kind, is_kind in kinds.items()))
+    return F.coalesce(known, F.when(F.ltrim(first).startswith("@"), "illumina"), F.lit("unknown"))
 
 
 TRACE = StructType().add("bases", StringType()).add("quality_scores", ArrayType(IntegerType()))

@@ -109,3 +109,14 @@ def test_sanger_and_report(spark):
     assert sorted(rows(sanger_reads(traces))) == [("a", "ACGT", [30] * 4), ("b", "ACGT", None), ("d", "ACGT", None)]
     lines = [r["value"] for r in report_text(spark.createDataFrame([(2, "xy"), (1, None)], "id int, name string"), "Report", "id").orderBy("line").collect()]
     assert lines == ["=" * 70, "REPORT", "=" * 70, "id  name  ", "-" * 10, "1         ", "2   xy    "]
+
+
+def test_platforms_by_documented_headers(spark):
+    rows = [
+        ("r.fastq", "@EAS139:136:FC706VJ:2:2104:15343:197393 1:Y:18:ATCACG\nACGT", "illumina"), ("r.fastq", "@read1 runid=ab sampleid=s read=12 ch=5 start_time=x\nA", "nanopore"),
+        ("r.fasta", ">m140415_143853_42175_c100635972550000001823121909121417_s1_p0/553/3100_11230\nA", "pacbio"), ("r.bam", "@m64011/4194375/ccs\nA", "pacbio"),
+        ("x.ab1", "anything", "sanger"), ("x.SCF", None, "sanger"), ("x.txt", "ABIF..", "sanger"), ("x.fq", "\n  @SRR1 length=5\nACGTA", "illumina"), ("x.fa", ">a/b/c\nA", "unknown"),
+        ("x.fa", ">a:1:b:2:3:4:5 1:N:0:X", "unknown"), ("ab1", ">s", "unknown"), ("x.txt", "", "unknown"), (None, None, "unknown"),
+    ]
+    found = spark.createDataFrame(rows, "f string, p string, want string").select("f", "p", "want", platform(F.col("f"), F.col("p")).alias("got")).collect()
+    assert [(r["f"], r["p"], r["got"]) for r in found] == [(r["f"], r["p"], r["want"]) for r in found]
