@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import analysis, kernels, reads, reports, scalar, stream
+from helixframe.plans import analysis, kernels, reads, reports, scalar, stores, stream
 
-MODULES = (scalar, reads, analysis, reports, kernels, stream)
+MODULES = (scalar, reads, analysis, reports, kernels, stream, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
