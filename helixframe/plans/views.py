@@ -34,7 +34,11 @@ def dealt(df: DataFrame) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, seq, qual): the bases of text_dna, with a quality of 12 to 40 from each letter."""
-    own = read(spark, sf_dir, "documents").select("doc_id", "lang", _letters().alias("letters"))
+    return reads_of(read(spark, sf_dir, "documents"))
+
+
+def reads_of(documents: DataFrame) -> DataFrame:
+    own = documents.select("doc_id", "lang", _letters().alias("letters"))
     quality = F.transform(F.split("letters", ""), lambda c: 12 + (7 * F.instr(F.lit(UPPER), c)) % 29)
     empty = F.expr("cast(array() as array<int>)")
     return own.select("doc_id", "lang", F.translate("letters", UPPER, FOLD).alias("seq"), F.when(F.col("letters") == "", empty).otherwise(quality).alias("qual"))

@@ -62,6 +62,11 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(f"line{k}")
     rows = numbered_lines(spark, path).groupBy("file", F.floor(F.col("n") / 4).cast("int").alias("idx")).agg(*map(part, range(4)))
+    return fastq_fields(rows)
+
+
+def fastq_fields(rows: DataFrame) -> DataFrame:
+    """The records of (file, idx, line0 to line3): those whose first line begins with ``@`` and that have a fourth."""
     rows = rows.where(F.col("line0").startswith("@") & F.col("line3").isNotNull())
     header = F.substring(F.col("line0"), F.lit(2), F.length("line0"))
     name = F.regexp_extract(header, r"^(\S*)", 1)
