@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +52,3 @@ def features(orfs: DataFrame, mutations: DataFrame, least: int = 150, top: int =
     kind = F.when(F.col("kind") == "substitution", "snp").otherwise(F.col("kind"))
     changes = mutations.select(F.col("id").alias("doc_id"), kind.alias("kind"), "start", F.greatest(F.col("end"), F.col("start") + 1).alias("end"), F.lit("+").alias("strand"))
     return frames.unionByName(changes)
-
-
-def workflow(sequences: DataFrame, tasks: dict[str, Callable[[DataFrame], DataFrame]], chosen: list[str]) -> DataFrame:
-    """(doc_id, task, finding, value) of the ``chosen`` tasks, each a function from sequences to (doc_id, finding, value)."""
-    unknown = set(chosen) - set(tasks)
-    if unknown:
-        raise ValueError(f"no such task: {sorted(unknown)}")
-    parts = [tasks[name](sequences).select("doc_id", F.lit(name).alias("task"), "finding", F.col("value").cast("string").alias("value")) for name in chosen]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import protein as prot
@@ -11,11 +11,17 @@ from helixframe.functions.tables import HELIX, HYDROPATHY, RESIDUE_MASS, RESIDUE
 from helixframe.operators import annotation as an
 from helixframe.operators import library as lib
 from helixframe.operators import statistics as st
+from helixframe.operators import targets as tg
 from helixframe.operators import variants as va
+from helixframe.operators.folding import fold_rna
+from helixframe.operators.primers import primer_pairs
+from helixframe.operators.quality import quality_report
+from helixframe.operators.similarity import identify
 from helixframe.operators.structure import backbone
+from helixframe.operators.workflow import Task, findings, run_tasks
 from helixframe.plans import views
 from helixframe.plans.analysis import _BLOCKS, _ORFS, aligned_pairs
-from helixframe.plans.scalar import count_sql, weighted_sql
+from helixframe.plans.scalar import codons_sql, count_sql, weighted_sql
 from helixframe.plans.views import sql
 
 SEQ = "seq"
@@ -67,34 +73,82 @@ def genome_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lib.features(orfs, va.mutation_blocks(aligned_pairs(spark, sf_dir)))
 
 
+def _protein() -> Column:
+    return prot.clean_protein(sq.translate_codons(F.coalesce(SEQ, F.lit(""))))
+
+
 def quality_task(df: DataFrame) -> DataFrame:
-    s = F.col(SEQ)
-    findings = F.array(*(F.struct(F.lit(n).alias("finding"), c.cast("string").alias("value")) for n, c in {"length": F.length(s), "gc": F.round(sq.gc_content(s), 4), "homopolymer": sq.longest_homopolymer(s)}.items()))
-    return df.select("doc_id", F.explode(findings).alias("f")).select("doc_id", "f.*")
+    graded = quality_report(df.withColumn("qual", F.lit(None).cast("array<int>")))
+    return findings(graded, {"length": F.col("length"), "gc": F.col("gc"), "n_percent": F.col("n_percent"), "homopolymer": sq.longest_homopolymer(F.col(SEQ))}, {"grade": F.col("grade")})
+
+
+def species_task(df: DataFrame) -> DataFrame:
+    """The most similar other document of every one whose id is divisible by 50, the queries of a search."""
+    own = df.select(F.col("doc_id").alias("id"), SEQ)
+    best = identify(own.where("id % 50 = 0"), own, top=2).where("query_id <> ref_id")
+    first = best.groupBy(F.col("query_id").alias("doc_id")).agg(F.min_by(F.struct("ref_id", "similarity", "confidence"), "rank").alias("b"))
+    return findings(first, {"reference": F.col("b.ref_id"), "similarity": F.col("b.similarity")}, {"confidence": F.col("b.confidence")})
+
+
+def primer_task(df: DataFrame) -> DataFrame:
+    """Documents without a pair have no findings."""
+    pairs = primer_pairs(df, top=5).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pair_score").alias("score"))
+    return findings(pairs, {"primer_pairs": F.col("n"), "pair_score": F.col("score")})
 
 
 def annotation_task(df: DataFrame) -> DataFrame:
-    return an.find_orfs(df.select("doc_id", SEQ), 60).groupBy("doc_id").agg(F.count("*").cast("string").alias("value")).select("doc_id", F.lit("orfs").alias("finding"), "value")
+    """Documents without a reading frame have no findings."""
+    frames = an.find_orfs(df, 60, None).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
+    return findings(frames, {"orfs": F.col("n"), "longest_orf": F.col("longest")})
 
 
 def rna_task(df: DataFrame) -> DataFrame:
-    kind, _ = sq.rna_class(F.length(SEQ), sq.longest_m_segment(sq.translate_codons(F.col(SEQ))), sq.poly_a_tail(F.col(SEQ)))
-    return df.select("doc_id", F.lit("rna_class").alias("finding"), kind.alias("value"))
+    kind, sure = sq.rna_class(F.length(SEQ), sq.longest_m_segment(sq.translate_codons(F.col(SEQ))), sq.poly_a_tail(F.col(SEQ)))
+    folded = df.withColumn("fold", fold_rna(F.translate(SEQ, "T", "U")))
+    return findings(folded, {"confidence": sure, "pairs": F.col("fold.pairs")}, {"rna_class": kind, "structure": F.col("fold.structure")})
+
+
+def proteomics_task(df: DataFrame) -> DataFrame:
+    s = F.col("p")
+    numbers = {"residues": F.length(s), "mw": prot.molecular_weight(s), "gravy": prot.gravy(s), "aliphatic": prot.aliphatic_index(s), "pi": prot.isoelectric_point(s)}
+    return findings(df.select("doc_id", _protein().alias("p")), numbers)
+
+
+def targets_task(df: DataFrame) -> DataFrame:
+    found = df.select("doc_id", _protein().alias("p")).select("doc_id", tg.membrane_regions("p").alias("m"), tg.epitopes("p").alias("e"))
+    return findings(found, {"membrane_regions": F.size("m"), "vaccine_targets": F.size(F.filter("e", lambda e: e["kept"] & e["exposed"]))})
 
 
 def statistics_task(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.lit("stability").alias("finding"), sq.thermal_stability(sq.gc_content(F.col(SEQ))).alias("value"))
+    """Diversity of the letters of each sequence, row by row."""
+    s = F.col(SEQ)
+    share = F.transform(F.filter(F.array_distinct(F.split(s, "")), lambda x: x != ""), lambda x: (F.length(s) - F.length(F.replace(s, x, F.lit("")))) / F.length(s))
+    total = lambda f: F.aggregate("share", F.lit(0.0), lambda a, p: a + f(p))
+    own = df.select("doc_id", SEQ, share.alias("share"))
+    return findings(own, {"shannon": total(lambda p: -p * F.log2(p)), "simpson": 1 - total(lambda p: p * p)}, {"stability": sq.thermal_stability(sq.gc_content(s))})
 
 
 #: The workflow's tasks by name; more may be added by a caller.
-TASKS = {"quality": quality_task, "annotation": annotation_task, "rna": rna_task, "statistics": statistics_task}
+TASKS: dict[str, Task] = {"quality": quality_task, "species": species_task, "primer": primer_task, "annotation": annotation_task, "rna": rna_task, "proteomics": proteomics_task, "targets": targets_task, "statistics": statistics_task}
+#: Those that SQL expresses, but for the isoelectric point.
+IN_SQL = ["quality", "annotation", "proteomics", "statistics"]
 
 
 def smart_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lib.workflow(views.dealt(views.text_dna(spark, sf_dir)), TASKS, list(TASKS))
+    return run_tasks(views.dealt(views.text_dna(spark, sf_dir)), TASKS, list(TASKS))[0]
+
+
+def workflow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workflow's tasks that SQL expresses, and their findings."""
+    return run_tasks(views.dealt(views.text_dna(spark, sf_dir)), TASKS, IN_SQL)[0].where("finding <> 'pi'")
+
+
+def pipeline_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the same run: a row for each task, with what was observed while its rows were written."""
+    return run_tasks(views.dealt(views.text_dna(spark, sf_dir)), TASKS, IN_SQL)[1]
 
 
-QUERIES = {f.__name__: f for f in (protein_report, residue_structure, protein_backbone, merged_composition, collection_report, count_by_source, project_scope, activity_log, genome_features, smart_workflow)}
+QUERIES = {f.__name__: f for f in (protein_report, residue_structure, protein_backbone, merged_composition, collection_report, count_by_source, project_scope, activity_log, genome_features, smart_workflow, workflow_findings, pipeline_log)}
 
 
 def _scale(values: dict[str, float]) -> str:
@@ -107,7 +161,24 @@ w AS (SELECT doc_id, i, aa, list(raw) OVER (PARTITION BY doc_id ORDER BY i ROWS
 m AS (SELECT doc_id, i, aa, list_sort(list_transform(['H', 'S', 'C'], lambda x: {{'n': -len(list_filter(near, lambda y: y = x)), 'at': coalesce(list_position(near, x), 9), 'k': x}}))[1].k AS kind FROM w)"""
 _GC = "CASE WHEN seq = '' THEN 0 ELSE length(regexp_replace(seq, '[^GC]', '', 'g')) * 100.0::DOUBLE / length(seq) END"
 _FIVE = "round(avg({0}), 6) AS {0}_mean, round(quantile_cont({0}, 0.5), 6) AS {0}_median, round(stddev_pop({0}), 6) AS {0}_sd, round(min({0}), 6) AS {0}_least, round(max({0}), 6) AS {0}_greatest"
+_WORKFLOW = sql(
+    "text_dna",
+    _ORFS.replace(">= 100", ">= 60")
+    + f""", pr AS (SELECT doc_id, regexp_replace({codons_sql("seq")}, '[^{RESIDUES}]', '', 'g') AS seq FROM v),
+    pn AS (SELECT doc_id, length(seq)::DOUBLE AS residues, CASE WHEN seq = '' THEN 0 ELSE {WATER_MASS}::DOUBLE + {weighted_sql(RESIDUE_MASS)} END::DOUBLE AS mw, CASE WHEN seq = '' THEN 0 ELSE {weighted_sql(HYDROPATHY)} / length(seq) END::DOUBLE AS gravy,
+      CASE WHEN seq = '' THEN 0 ELSE ({count_sql("A")} + 2.9::DOUBLE * {count_sql("V")} + 3.9::DOUBLE * ({count_sql("I")} + {count_sql("L")})) * 100.0 / length(seq) END::DOUBLE AS aliphatic FROM pr),
+    ql AS (SELECT doc_id, length(seq)::DOUBLE AS length, ({_GC})::DOUBLE AS gc, coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))), 0)::DOUBLE AS homopolymer FROM v),
+    sh AS (SELECT doc_id, unnest([{", ".join(f"{count_sql(b)}::DOUBLE / nullif(length(seq), 0)" for b in "ACGT")}]) AS p FROM v), sd AS (SELECT doc_id, coalesce(sum(CASE WHEN p > 0 THEN -p * log2(p) END), 0) AS shannon, coalesce(1 - sum(p * p), 1) AS simpson FROM sh GROUP BY doc_id),
+    fd AS (SELECT doc_id, 'quality' AS task, unnest(['length', 'gc', 'n_percent', 'homopolymer']) AS finding, round(unnest([length, gc, 0, homopolymer])::DECIMAL(38, 12), 6)::DOUBLE AS number, NULL::VARCHAR AS text FROM ql
+    UNION ALL SELECT doc_id, 'quality', 'grade', NULL, CASE WHEN length > 50 THEN 'A' ELSE 'B' END FROM ql
+    UNION ALL SELECT doc_id, 'annotation', unnest(['orfs', 'longest_orf']), unnest([count(*)::DOUBLE, max(length)::DOUBLE]), NULL FROM q GROUP BY doc_id
+    UNION ALL SELECT doc_id, 'proteomics', unnest(['residues', 'mw', 'gravy', 'aliphatic']), round(unnest([residues, mw, gravy, aliphatic])::DECIMAL(38, 12), 6)::DOUBLE, NULL FROM pn
+    UNION ALL SELECT doc_id, 'statistics', unnest(['shannon', 'simpson']), round(unnest([shannon, simpson])::DECIMAL(38, 12), 6)::DOUBLE, NULL FROM sd
+    UNION ALL SELECT doc_id, 'statistics', 'stability', NULL, CASE WHEN gc >= 60 THEN 'Thermally stable (GC-rich)' WHEN gc >= 40 THEN 'Moderate stability' ELSE 'Lower thermal stability (AT-rich)' END FROM ql) """,
+)
 SQL = {
+    "workflow_findings": _WORKFLOW + "SELECT * FROM fd",
+    "pipeline_log": _WORKFLOW + "SELECT task, 'done' AS state, count(*) + CASE task WHEN 'proteomics' THEN (SELECT count(*) FROM v) ELSE 0 END AS findings, count(number) + CASE task WHEN 'proteomics' THEN (SELECT count(*) FROM v) ELSE 0 END AS numbers, NULL::VARCHAR AS error FROM fd GROUP BY task",
     "protein_report": sql(
         "text_protein",
         f"SELECT doc_id, length(seq)::INT AS residues, round(CASE WHEN seq = '' THEN 0 ELSE {WATER_MASS}::DOUBLE + {weighted_sql(RESIDUE_MASS)} END, 3) AS mw, round(CASE WHEN seq = '' THEN 0 ELSE {weighted_sql(HYDROPATHY)} / length(seq) END, 3) AS gravy, "
