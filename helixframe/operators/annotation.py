@@ -92,29 +92,56 @@ def find_orfs(sequences: DataFrame, min_length: int = 100, top: int | None = 200
     return own.mapInArrow(run, "doc_id long, strand string, frame int, start int, end int, length int, n_aa int, forward_start int, rank int")
 
 
+def best_segment(seq: str) -> tuple[str, int, str]:
+    """(strand, frame, residues) of the longest segment from M; ties forward first, then lower frame, then first in it."""
+    scored = []
+    for strand, amino in _strands(seq):
+        for frame in range(3):
+            own = amino[frame::3]
+            first, end, _ = frame_segments(own)
+            k = int((end - first).argmax()) if len(first) else None
+            segment = own[:0] if k is None else own[first[k] : end[k]]
+            scored.append((-len(segment), strand, frame, segment.tobytes().decode()))
+    return min(scored)[1:]
+
+
+def _best(sequences: DataFrame, columns, schema: str) -> DataFrame:
+    """doc_id and ``columns(sequence)`` of each row, in Arrow batches."""
+    names, kinds = zip(*(field.split() for field in schema.split(", ")), strict=True)
+    types = [{"string": pa.string(), "int": pa.int32()}[kind] for kind in kinds]
+
+    def run(batches):
+        for batch in batches:
+            rows = [columns(s or "") for s in batch.column("seq").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", *names])
+
+    own = sequences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("string").alias("seq"))
+    return own.mapInArrow(run, "doc_id long, " + schema)
+
+
 def best_frame(sequences: DataFrame) -> DataFrame:
     """(doc_id, strand, frame, longest): the frame with the longest segment from M; ties forward first, then lower.
 
     A segment may run to the sequence's end. Null and empty sequences give the first frame with 0.
     """
 
-    def best(seq: str) -> tuple[str, int, int]:
-        scored = []
-        for strand, amino in _strands(seq):
-            for frame in range(3):
-                first, end, _ = frame_segments(amino[frame::3])
-                scored.append((-int((end - first).max(initial=0)), strand, frame))
-        longest, strand, frame = min(scored)
-        return strand, frame, -longest
+    def columns(seq: str) -> tuple:
+        strand, frame, residues = best_segment(seq)
+        return strand, frame, len(residues)
 
-    def run(batches):
-        for batch in batches:
-            rows = [best(s or "") for s in batch.column("seq").to_pylist()]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "strand", "frame", "longest"])
+    return _best(sequences, columns, "strand string, frame int, longest int")
 
-    own = sequences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("string").alias("seq"))
-    return own.mapInArrow(run, "doc_id long, strand string, frame int, longest int")
+
+def best_proteins(sequences: DataFrame) -> DataFrame:
+    """(doc_id, strand, frame, protein): the residues of that segment, and where no frame holds an M the whole translation of
+    the first one, stops included. Null and empty sequences give an empty protein.
+    """
+
+    def columns(seq: str) -> tuple:
+        strand, frame, residues = best_segment(seq)
+        return strand, frame, residues or _strands(seq)[0][1][::3].tobytes().decode()
+
+    return _best(sequences, columns, "strand string, frame int, protein string")
 
 
 def gff3_lines(features: DataFrame) -> DataFrame:

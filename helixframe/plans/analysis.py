@@ -87,6 +87,10 @@ def orf_best_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.best_frame(views.dealt(views.text_dna(spark, sf_dir)))
 
 
+def orf_best_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an.best_proteins(views.dealt(views.text_dna(spark, sf_dir)))
+
+
 def gff3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.gff3_lines(an.find_orfs(views.text_dna(spark, sf_dir)))
 
@@ -218,7 +222,7 @@ def activity_top_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (species_identify_topn, species_confidence, domain_classify, kmer_jaccard_pairs, kmer_classes, kmer_distances, p_distance_matrix, seed_best_diagonal, orf_scan, orf_best_frame, gff3_lines, coverage_depth, max_lanes, lane_assignment, interval_overlap, variant_columns, mutation_blocks, mutation_impact, mutation_counts, hydrophilicity_profile, tm_regions, epitope_windows, epitopes_nms, vaccine_targets, mass_search, metabolite_search, library_search, library_sort_topk, lab_codes, fasta_lines, activity_by_module, activity_top_users)
+    for f in (species_identify_topn, species_confidence, domain_classify, kmer_jaccard_pairs, kmer_classes, kmer_distances, p_distance_matrix, seed_best_diagonal, orf_scan, orf_best_frame, orf_best_protein, gff3_lines, coverage_depth, max_lanes, lane_assignment, interval_overlap, variant_columns, mutation_blocks, mutation_impact, mutation_counts, hydrophilicity_profile, tm_regions, epitope_windows, epitopes_nms, vaccine_targets, mass_search, metabolite_search, library_search, library_sort_topk, lab_codes, fasta_lines, activity_by_module, activity_top_users)
 }
 
 
@@ -281,6 +285,9 @@ SQL = {
     ),
     "orf_scan": sql("text_dna", _ORFS + " SELECT * FROM z"),
     "orf_best_frame": sql("text_dna", _SIX + ", l AS (SELECT doc_id, strand, frame::INT AS frame, list_max(list_transform(string_split(protein, '*'), lambda x: CASE WHEN instr(x, 'M') > 0 THEN length(x) - instr(x, 'M') + 1 ELSE 0 END))::INT AS longest FROM p) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY longest DESC, strand, frame) = 1"),
+    "orf_best_protein": sql("text_dna", _SIX + """, m AS (SELECT doc_id, strand, frame::INT AS frame, protein AS whole, list_transform(string_split(protein, '*'), lambda x: CASE WHEN instr(x, 'M') > 0 THEN substr(x, instr(x, 'M')) ELSE '' END) AS own FROM p),
+        l AS (SELECT *, own[list_position(list_transform(own, lambda x: length(x)), list_max(list_transform(own, lambda x: length(x))))] AS best FROM m)
+        SELECT doc_id, strand, frame, CASE WHEN best = '' THEN whole ELSE best END AS protein FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(best) DESC, strand, frame) = 1"""),
     "gff3_lines": sql("text_dna", _ORFS + " SELECT doc_id, concat_ws(chr(9), 'doc' || doc_id, 'helixframe', 'ORF', forward_start + 1, forward_start + length, '.', strand, '0', 'Note=ORF%20of%20' || n_aa || '%20aa') AS line FROM z"),
     "coverage_depth": _DEPTH + "SELECT * FROM c WHERE depth > 0",
     "max_lanes": _DEPTH + "SELECT l_orderkey, max(depth) AS lanes FROM c WHERE depth > 0 GROUP BY ALL",

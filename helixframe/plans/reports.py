@@ -10,6 +10,7 @@ from helixframe.functions import sequence as sq
 from helixframe.functions.tables import HELIX, HYDROPATHY, RESIDUE_MASS, RESIDUES, SHEET, TURN, WATER_MASS
 from helixframe.operators import annotation as an
 from helixframe.operators import library as lib
+from helixframe.operators import sketches as sk
 from helixframe.operators import statistics as st
 from helixframe.operators import targets as tg
 from helixframe.operators import variants as va
@@ -53,6 +54,12 @@ def collection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.collection_report(views.text_dna(spark, sf_dir), sq.gc_content(F.col(SEQ)))
 
 
+def kmer_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of distinct 11-mers by source and language and of all their combinations, merged from sketches."""
+    own = views.read(spark, sf_dir, "documents").select("source", "lang", views.bases().alias(SEQ))
+    return sk.kmer_cardinality(sk.kmer_sketches(own, ["source", "lang"]), ["source", "lang"], cube=True)
+
+
 def count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of each project; the documents' sources stand for projects."""
     return lib.count_by(views.read(spark, sf_dir, "documents"), "source")
@@ -148,7 +155,7 @@ def pipeline_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_tasks(views.dealt(views.text_dna(spark, sf_dir)), TASKS, IN_SQL)[1]
 
 
-QUERIES = {f.__name__: f for f in (protein_report, residue_structure, protein_backbone, merged_composition, collection_report, count_by_source, project_scope, activity_log, genome_features, smart_workflow, workflow_findings, pipeline_log)}
+QUERIES = {f.__name__: f for f in (protein_report, residue_structure, protein_backbone, merged_composition, collection_report, count_by_source, project_scope, activity_log, genome_features, smart_workflow, workflow_findings, pipeline_log, kmer_cardinality)}
 
 
 def _scale(values: dict[str, float]) -> str:

@@ -22,9 +22,14 @@ def _letters() -> Column:
     return F.regexp_replace(ascii_upper(F.coalesce("text", F.lit(""))), "[^A-Z]", "")
 
 
+def bases() -> Column:
+    """The letters of the column ``text`` folded to bases."""
+    return F.translate(_letters(), UPPER, FOLD)
+
+
 def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, seq): the letters of the text folded to bases; near-duplicates stay similar."""
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(_letters(), UPPER, FOLD).alias("seq"))
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", bases().alias("seq"))
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from helixframe.functions.protein import residue_structure
 from helixframe.functions.register import register
 from helixframe.operators import library as lib
-from helixframe.operators.annotation import find_orfs
+from helixframe.operators.annotation import best_frame, best_proteins, find_orfs
 from helixframe.operators.scoring import MATRICES
 from helixframe.operators.similarity import similar_documents, similar_sets
 from helixframe.operators.variants import codon_impact, mutation_blocks
@@ -118,3 +118,10 @@ def test_platforms_by_documented_headers(spark):
     ]
     found = spark.createDataFrame(rows, "f string, p string, want string").select("f", "p", "want", platform(F.col("f"), F.col("p")).alias("got")).collect()
     assert [(r["f"], r["p"], r["got"]) for r in found] == [(r["f"], r["p"], r["want"]) for r in found]
+
+
+def test_best_frames_and_proteins(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "AC"), (4, "CCCTAACCC"), (5, "ATGAAATAGATGCCC"), (6, "TTTCATTTTTTTTTTTTTTTTTTTTT"), (None, "CATGAAACCC")], "doc_id long, seq string")
+    want = {1: ("+", 0, ""), 2: ("+", 0, ""), 3: ("+", 0, ""), 4: ("+", 0, "P*P"), 5: ("+", 0, "MK"), 6: ("-", 2, "MK"), None: ("+", 1, "MKP")}
+    assert {r[0]: tuple(r)[1:] for r in best_proteins(df).collect()} == want
+    assert {r[0]: tuple(r)[1:] for r in best_frame(df).collect()} == {k: (s, f, 0 if k in (1, 2, 3, 4) else len(p)) for k, (s, f, p) in want.items()}
