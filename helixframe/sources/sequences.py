@@ -76,13 +76,21 @@ def fastq_fields(rows: DataFrame) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(name, description, sequence, seq_type, quality_scores) of FASTA and FASTQ files, told apart by their first sign."""
+    """(name, description, sequence, seq_type, quality_scores) of FASTA and FASTQ files, told apart by their first sign.
+
+    A file that begins as FASTQ but holds no whole record is read as FASTA.
+    """
     first = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.trim("value").startswith("@").alias("reads"), F.col("_metadata.file_block_start").alias("block"))
     kinds = {r["file"]: r["reads"] for r in first.groupBy("file").agg(F.min_by("reads", F.struct("block", "id")).alias("reads")).collect()}  # a row for each file, which the driver lists anyway
     names = ["name", "description", "sequence", "seq_type", "quality_scores"]
     empty = spark.createDataFrame([], "name string, description string, sequence string, seq_type string, quality_scores array<int>")
     reads, records = ([f for f, kind in kinds.items() if kind == want] for want in (True, False))
-    out = [read_fastq(spark, reads).withColumn("seq_type", detect_type(F.col("sequence"))).select(names)] if reads else []
+    out = []
+    if reads:
+        found = read_fastq(spark, reads)
+        out.append(found.withColumn("seq_type", detect_type(F.col("sequence"))).select(names))
+        whole = {r["file"] for r in found.select("file").distinct().collect()}  # again a row for each file at most
+        records += [f for f in reads if f not in whole]
     out += [read_fasta(spark, records).withColumn("quality_scores", F.lit(None).cast("array<int>")).select(names)] if records else []
     for frame in out:
         empty = empty.unionByName(frame)

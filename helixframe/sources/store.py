@@ -90,7 +90,7 @@ class Store:
         return touched
 
     def delete(self, spark: SparkSession, keys: DataFrame) -> list[int]:
-        """Take out the documents of the column ``key`` of ``keys``; returns the folders rewritten."""
+        """Take out the documents of the column ``key`` of ``keys``; returns the folders rewritten. Corrupt lines stay."""
         gone = materialise(keys.select(F.col(self.key).cast(self.schema[self.key].dataType).alias("k")).where("k IS NOT NULL").distinct().withColumn(BUCKET, self.bucket(F.col("k"))), "store-gone")
         touched = sorted(r[0] for r in gone.select(BUCKET).distinct().collect())
         if touched:

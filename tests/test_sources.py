@@ -2,7 +2,7 @@ import struct
 
 from helixframe.functions import sequence as sq
 from helixframe.operators import quality as q
-from helixframe.sources.sequences import fasta_text, fastq_text, parse_trace, read_fasta, read_fastq
+from helixframe.sources.sequences import fasta_text, fastq_text, parse_trace, read_fasta, read_fastq, read_sequences
 from helixframe.streaming.activity import activity_windows
 from pyspark.sql import functions as F
 
@@ -60,3 +60,12 @@ def test_stream_equals_batch(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("hourly").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, activity_windows(rows).collect()))
+
+
+def test_files_that_only_begin_as_fastq_are_read_as_fasta(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("@no record\n>s1 x\nACGT\n>s2\nMKLV*\n")
+    (tmp_path / "b.fq").write_text("@r1\nGG\n+\nII\n")
+    (tmp_path / "c.fa").write_text(">s3\nAC\n")
+    (tmp_path / "d.fq").write_text("@r2\nGG\n+\n")
+    got = read_sequences(spark, str(tmp_path)).collect()
+    assert sorted((r["name"], r["sequence"], r["quality_scores"]) for r in got) == [("r1", "GG", [40, 40]), ("s1", "ACGT", None), ("s2", "MKLV*", None), ("s3", "AC", None)]

@@ -52,5 +52,6 @@ def test_deletes(spark, tmp_path):
     store = Store(str(tmp_path / "s"), SCHEMA, "id", 4)
     store.upsert(spark.createDataFrame([(i, "a", 0) for i in range(20)], SCHEMA))
     assert store.delete(spark, spark.createDataFrame([(99,), (5,), (5,), (None,)], "id long")) and [r[0] for r in held(store, spark)] == [i for i in range(20) if i != 5]
+    (tmp_path / "s" / "bucket=1" / "by-hand.txt").write_text("not json\n")
     store.delete(spark, store.read(spark))
-    assert held(store, spark) == [] and store.corrupt(spark).count() == 0
+    assert held(store, spark) == [] and [r[0] for r in store.corrupt(spark).collect()] == ["not json"]
