@@ -136,3 +136,12 @@ def test_cross_dimers_against_plain_loops():
         return max(sum(0 <= i + s < len(r) and x[i] == r[i + s] for i in range(len(x))) for s in range(1 - len(x), len(x))) / len(x)
 
     assert cross_dimers(pd.Series(a), pd.Series(b)).tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_wells_are_aligned_together(monkeypatch):
+    calls = []
+    whole = fam.align_batch
+    monkeypatch.setattr(fam, "align_batch", lambda a, b, *more: calls.append(len(a)) or whole(a, b, *more))
+    wells = [["ACGTACGT", "ACGACGT", "ACGTACGTT"], ["GGGG"], ["", ""], ["ACCA", "ACA"]] * 20
+    assert fam.well_consensus(wells) == [(3, "consensus", "ACGTACGT"), (1, "single_pass", "GGGG"), (2, "consensus", ""), (2, "consensus", "ACCA")] * 20
+    assert calls == [80]
