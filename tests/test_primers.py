@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from helixframe.operators.primers import Windows, best_primers, candidates, hairpins, primer_pairs, self_dimers
+from helixframe.operators import primers
+from helixframe.operators.primers import Windows, best_of_strands, best_primers, candidates, cross_dimers, hairpins, primer_pairs, self_dimers
 
 
 def plain_hairpin(p):
@@ -93,3 +94,34 @@ def test_candidates_and_pairs_of_tables(spark):
     want = sorted(want, key=lambda w: (-w[0], *w[1:]))[:10]
     pairs = primer_pairs(table).orderBy("rank").collect()
     assert [(round(p.pair_score, 9), p.f_start, p.r_end, p.forward, p.reverse) for p in pairs if p.doc_id == 1] == want
+
+
+def test_pairs_in_time_of_the_input(spark):
+    """A template's pairs are scored where its row is: no join, no shuffle, rows of one or no id apart, ties as ordered."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ACGT") for _ in range(500)), "".join(rng.choice("ACGT") for _ in range(500)), "ACGTTGCAAC" * 40, "GC" * 200, "ACGTé" * 60]
+    table = spark.createDataFrame([(k, t) for k, t in zip((7, 7, None, 8, 9), texts, strict=True)], "doc_id long, seq string")
+    made = primer_pairs(table)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    assert len([r for r in got if r.doc_id == 7]) == 20 and len([r for r in got if r.doc_id is None]) == 10
+    for both in zip(texts, best_of_strands(texts, 18, 24, 60), strict=True):
+        t, ((starts, lengths, _, tm, score), (r_starts, r_lengths, _, r_tm, r_score)) = both
+        want = []
+        for x in range(len(starts)):
+            for y in range(len(r_starts)):
+                end, gap = len(t) - r_starts[y], abs(tm[x] - r_tm[y])
+                if 100 <= end - starts[x] <= 1000 and gap <= 5:
+                    f, r = t[starts[x] : starts[x] + lengths[x]], t[end - r_lengths[y] : end][::-1].translate(str.maketrans("ACGT", "TGCA"))
+                    want.append((-round((score[x] + r_score[y]) / 2 - 2 * gap - 15 * cross_dimers(pd.Series([f]), pd.Series([r]))[0], 9), starts[x], end, f, r))
+        own = [r for r in got if r.forward in t and r.f_start == t.find(r.forward, r.f_start)]
+        assert sorted(want)[:10] == [w for w in sorted(want) if any((-round(r.pair_score, 9), r.f_start, r.r_end, r.forward, r.reverse) == w for r in own)][:10]
+
+
+def test_parts_of_a_batch_are_the_templates_alone(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 17, 18, 30, 90]))) for _ in range(40)]
+    monkeypatch.setattr(primers, "PART_LETTERS", 150)
+    for t, both in zip(texts, best_of_strands(texts, 18, 24, 9), strict=True):
+        for text, (starts, lengths, *_) in zip((t, t[::-1].translate(str.maketrans("ACGT", "TGCA"))), both, strict=True):
+            assert [(s, text[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)] == [w[:2] for w in plain_primers(text, 18, 24, 9)]
