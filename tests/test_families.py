@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations, product
 
 import numpy as np
@@ -127,6 +128,23 @@ def test_lamp_sides_against_plain_loops_and_invariants():
     assert lamp.design("ACGT" * 30) == [] and lamp.design("A" * 400) == [] and lamp.design("") == []
 
 
+def test_lamp_sets_of_many_templates_at_once():
+    """Sets of a batch are those of each template alone, by its own sides; a thousand letters take milliseconds."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 149, 150, 170, 260, 450, 900) for letters in ("ACGT", "AACGT", "ACGTN")]
+    made = lamp.designs(texts)
+    assert made == [lamp.design(t) for t in texts] and sum(map(len, made)) > 10
+    for t, sets in zip(texts, made, strict=True):
+        for core, f3, f2, f1c, *rest, f3_start, b3_end, score in sets:
+            front = lamp.best_side(t, 0, min(max(int(len(t) * 0.5 + 0.5), 30), 220), lamp.FRONT)
+            assert [p[0] for p in front["pieces"]] == [f3, f2, f1c] and front["pieces"][0][1] == f3_start
+    pieces = ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 44))) for _ in range(80)]
+    assert lamp.dimers(pieces, pieces[::-1]).tolist() == cross_dimers(pd.Series(pieces), pd.Series(pieces[::-1])).tolist()
+    began = time.perf_counter()
+    lamp.designs(["".join(rng.choice("ACGT") for _ in range(1000)) for _ in range(96)])
+    assert time.perf_counter() - began < 4
+
+
 def test_cross_dimers_against_plain_loops():
     rng = random.Random(3)
     a, b = (["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 12))) for _ in range(60)] for _ in range(2))
