@@ -26,6 +26,8 @@ def variant_columns(pairs: DataFrame) -> DataFrame:
 
 KINDS = ("equal", "insertion", "deletion", "substitution")
 _GAP = ord("-")
+#: Rows whose blocks are held at once.
+ROWS = 256
 
 
 def blocks_of(ref: str, query: str) -> list[tuple[int, str, str, str]]:
@@ -46,22 +48,54 @@ def mutation_blocks(pairs: DataFrame) -> DataFrame:
     Row by row in Arrow batches, without a shuffle. Null rows have no blocks; of rows of unlike length the shorter counts.
     """
 
+    return _noted(_blocks(pairs, None)).select("id", "start", "end", "ref", "alt", "kind", "notation")
+
+
+def _blocks(pairs: DataFrame, frame: int | None) -> DataFrame:
+    """(id, start, ref, alt, kind, codons) of each block; ``codons`` are the reference's bases of all codons in ``frame``
+    that the block touches, null without a frame. A batch's rows are given on a few at a time."""
+    types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks_of(r or "", q or "") for r, q in zip(batch.column("r").to_pylist(), batch.column("q").to_pylist(), strict=True)]
-            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-            cells = list(zip(*(x for f in found for x in f), strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), pa.string(), pa.string()), strict=True))], ["id", "start", "ref", "alt", "kind"])
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                found = [codons_of(r or "", blocks_of(r or "", q or ""), frame) for r, q in zip(batch.column("r").to_pylist(), batch.column("q").to_pylist(), strict=True)]
+                ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+                cells = list(zip(*(x for f in found for x in f), strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cells, types, strict=True))], ["id", "start", "ref", "alt", "kind", "codons"])
 
     rows = pairs.select("id", F.col("ref_aligned").cast("string").alias("r"), F.col("query_aligned").cast("string").alias("q"))
-    schema = StructType([rows.schema["id"], *StructType.fromDDL("start int, ref string, alt string, kind string").fields])
-    blocks = rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([rows.schema["id"], *StructType.fromDDL("start int, ref string, alt string, kind string, codons string").fields]))
+
+
+def codons_of(ref_aligned: str, blocks: list[tuple[int, str, str, str]], frame: int | None) -> list[tuple]:
+    """The blocks with the reference's bases of the codons that each touches; none before the frame."""
+    if frame is None:
+        return [(*b, None) for b in blocks]
+    dna, out = ref_aligned.replace("-", ""), []
+    for start, ref, alt, kind in blocks:
+        first = (start - frame) // 3
+        last = max((start + len(ref) - 1 - frame) // 3, first)
+        out.append((start, ref, alt, kind, dna[3 * first + frame : 3 * last + 3 + frame] if first >= 0 else ""))
+    return out
+
+
+def _noted(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with their ``end`` and notation."""
     end = F.col("start") + F.length("ref")
     one = F.length("ref") == 1
     notation = F.when(F.col("kind") == "substitution", F.concat((F.col("start") + 1).cast("string"), "ref", F.lit(">"), "alt"))
     notation = notation.when(F.col("kind") == "insertion", F.concat(F.col("start").cast("string"), F.lit("_"), (F.col("start") + 1).cast("string"), F.lit("ins"), "alt"))
     notation = notation.otherwise(F.concat((F.col("start") + 1).cast("string"), F.when(one, "").otherwise(F.concat(F.lit("_"), end.cast("string"))), F.lit("del"), "ref"))
-    return blocks.select("id", "start", end.alias("end"), "ref", "alt", "kind", notation.alias("notation"))
+    return blocks.withColumns({"end": end, "notation": notation})
+
+
+def mutation_impacts(pairs: DataFrame, frame: int = 0) -> DataFrame:
+    """``codon_impact`` of the ``mutation_blocks`` of aligned pairs, row by row: each block carries its own codons, so no
+    row is joined with its sequence again."""
+    blocks = _noted(_blocks(pairs, frame)).select("id", "start", "end", "ref", "alt", "kind", "notation", "codons")
+    return _judged(blocks, frame).drop("codons")
 
 
 def is_transition() -> F.Column:
@@ -77,10 +111,21 @@ def codon_impact(blocks: DataFrame, references: DataFrame, frame: int = 0) -> Da
     BLOSUM62 score of a missense change of one residue, else 0. ``references``: (id, ref) ungapped, coding from ``frame``.
     """
     b = blocks.join(references.select("id", F.col("ref").alias("dna")), "id")
+    at, n = _codons(frame)
+    return _judged(b.withColumn("codons", F.substring(F.col("dna"), at + 1, n)).drop("dna"), frame).select(*blocks.columns, "impact", "protein", "severity")
+
+
+def _codons(frame: int) -> tuple[F.Column, F.Column]:
+    """First base and number of bases of the codons that a block touches."""
     first = F.floor((F.col("start") - frame) / 3).cast("int")
     last = F.greatest(F.floor((F.col("start") + F.length("ref") - 1 - frame) / 3).cast("int"), first)
-    b = b.withColumn("first", first).withColumn("n", 3 * (last - first + 1)).withColumn("at", 3 * first + frame)
-    b = b.withColumn("codons", F.substring(F.col("dna"), F.col("at") + 1, F.col("n"))).withColumn("k", F.col("start") - F.col("at"))
+    return 3 * first + frame, 3 * (last - first + 1)
+
+
+def _judged(b: DataFrame, frame: int) -> DataFrame:
+    """Blocks with ``codons``, and impact, protein change and severity by them."""
+    columns, (at, n) = b.columns, _codons(frame)
+    b = b.withColumns({"at": at, "n": n}).withColumn("first", F.floor((F.col("at") - frame) / 3).cast("int")).withColumn("k", F.col("start") - F.col("at"))
     changed = F.concat(F.expr("substring(codons, 1, k)"), F.col("alt"), F.expr("substring(codons, k + length(ref) + 1)"))
     b = b.withColumn("before", translate_codons(F.col("codons"))).withColumn("after", translate_codons(changed))
     before, after = F.col("before"), F.col("after")
@@ -92,7 +137,7 @@ def codon_impact(blocks: DataFrame, references: DataFrame, frame: int = 0) -> Da
     row, column = (F.nullif(F.instr(F.lit(RESIDUES), c), F.lit(0)) for c in (before, after))
     scores = F.array(*(F.lit(BLOSUM[x, y]) for x in RESIDUES for y in RESIDUES))
     severity = F.when((F.col("impact") == "missense") & (F.length("before") == 1), F.coalesce(F.get(scores, 20 * (row - 1) + column - 1), F.lit(0))).otherwise(0)
-    return b.select(*blocks.columns, "impact", protein.alias("protein"), severity.alias("severity"))
+    return b.select(*columns, "impact", protein.alias("protein"), severity.alias("severity"))
 
 
 def mutation_counts(blocks: DataFrame) -> DataFrame:
