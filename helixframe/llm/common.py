@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +81,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """``make()``, made once in a Python worker and kept between its tasks until another key is asked for.
+
+    Workers outlive the operators: what one learned goes, and its memory back to the system, when the next one begins.
+    """
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def words_column(text: Column, lower: bool = False) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of ``text`` (null: empty array); ``lower`` maps A-Z to a-z."""
     text = F.coalesce(text, F.lit(""))

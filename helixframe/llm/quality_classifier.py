@@ -8,14 +8,14 @@ learned together by stochastic gradient descent in numpy, on a bounded sample of
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_batches
+from helixframe.llm.common import kept_in_worker, map_batches
 
 
 @dataclass(frozen=True)
@@ -35,16 +35,12 @@ class Settings:
     threshold: float = 0.3
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
     settings: Settings
     vectors: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    _words: dict = field(default_factory=dict, repr=False, compare=False)
-
-    def __reduce__(self):
-        return Model, (self.settings, self.vectors, self.weights, self.bias)
 
 
 def word_features(word: str, s: Settings) -> list[int]:
@@ -142,9 +138,7 @@ class WordTable:
 def score(texts: list[str | None], model: Model) -> np.ndarray:
     """Probability of quality 1; a text without words gets that of the bias alone."""
     s = model.settings
-    if "table" not in model._words:
-        model._words["table"] = WordTable(model)
-    table = model._words["table"]
+    table = kept_in_worker(model, lambda: WordTable(model))
     means = np.zeros((len(texts), s.width), np.float32)
     for row, text in enumerate(texts):
         words = document_words(text)

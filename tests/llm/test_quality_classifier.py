@@ -1,9 +1,12 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import Row
 
-from helixframe.llm.quality_classifier import Settings, classify, document_features, score, train
+from helixframe.llm import common
+from helixframe.llm.packing import WordIds, encoder
+from helixframe.llm.quality_classifier import Settings, WordTable, classify, document_features, score, train
 
 SMALL = Settings(buckets=1 << 12, epochs=6)
 
@@ -54,3 +57,21 @@ def test_empty_tables(spark):
     assert classify(docs, labels, SMALL).collect() == []
     one = spark.createDataFrame([Row(doc_id=1, text="a b")])
     assert classify(one, labels, SMALL).first()["score"] == 0.5
+
+
+def test_a_worker_keeps_what_one_operator_learned():
+    """An encoder goes when the classifier begins, a model's words when another model or an encoder begins."""
+    rows = texts(40, 5)
+    one, two = (train([document_features(t, SMALL) for t, _ in rows[:n]], [y for _, y in rows[:n]], SMALL) for n in (20, 40))
+    words = encoder(WordIds, public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder(WordIds, public_tokenizers.path("word_bpe_49k.json")) is words
+    first = score([rows[0][0]], one)
+    assert [type(x) for x in common._KEPT.values()] == [WordTable] and next(iter(common._KEPT.values())).model is one
+    table = next(iter(common._KEPT.values()))
+    score([rows[1][0]], one)
+    assert next(iter(common._KEPT.values())) is table
+    score([rows[0][0]], two)
+    assert [x.model for x in common._KEPT.values()] == [two]
+    assert score([rows[0][0]], one) == first
+    encoder(WordIds, public_tokenizers.path("word_bpe_49k.json"))
+    assert [type(x) for x in common._KEPT.values()] == [WordIds]
