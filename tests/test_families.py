@@ -170,3 +170,22 @@ def test_columns_of_gaps_go_at_once():
     rows = ["ACGT-" * 200_000, "A-GT-" * 200_000]
     began = time.perf_counter()
     assert len(fam.without_gap_columns(rows)[0]) == 800_000 and time.perf_counter() - began < 0.2
+
+
+def test_overlaps_bound_by_classes_are_those_of_all_letters(monkeypatch):
+    """Transforms: one a text and one a pair, where all letters' took twelve; texts of one class fall back to all letters."""
+    rng = np.random.default_rng(8)
+    pairs = []
+    for letters in ("ACGT", "AC", "A", "ACGT\u00e9-"):
+        for _ in range(12):
+            a, b = ("".join(rng.choice(list(letters), rng.integers(20, 260))) for _ in range(2))
+            pairs += [(a, b), (a + b[:40], b), (a, a[len(a) // 3 :] + b)]
+    for identity in (60.0, 90.0, 100.0):
+        for a, b in pairs:
+            matches = [sum(x == y for x, y in zip(a[len(a) - n :], b[:n], strict=True)) for n in range(min(len(a), len(b)) + 1)]
+            fits = [n for n in range(20, len(matches)) if 100.0 * matches[n] / n >= identity]
+            assert fam._Overlaps(20, identity).longest(a, b) == ((fits[-1], matches[fits[-1]]) if fits else (0, 0))
+    made = []
+    monkeypatch.setattr(fam, "overlap_matches", lambda a, b: made.append(1))
+    genome = "".join(rng.choice(list("ACGT"), 600))
+    assert [c for c, _ in fam.assemble([genome[:300], genome[200:500], genome[400:]])] == [genome] and not made
