@@ -189,3 +189,12 @@ def test_overlaps_bound_by_classes_are_those_of_all_letters(monkeypatch):
     monkeypatch.setattr(fam, "overlap_matches", lambda a, b: made.append(1))
     genome = "".join(rng.choice(list("ACGT"), 600))
     assert [c for c, _ in fam.assemble([genome[:300], genome[200:500], genome[400:]])] == [genome] and not made
+
+
+def test_groups_joined_by_their_first_rows_look_at_no_other_letters(monkeypatch):
+    """One table of scores, of the first rows' letters; all rows get the gaps, letters beyond 16 bits too."""
+    asked, own = [], Scoring.table
+    monkeypatch.setattr(Scoring, "table", lambda self, letters: asked.append(letters) or own(self, letters))
+    a, b = fam.merge_rows(["ACGTAC", "AC\U0001f600TNN"], ["ACTAC", "XYZ--"], Scoring(), whole=False)
+    assert asked == [["A", "C", "G", "T"]]
+    assert (a, b) == (["ACGTAC", "AC\U0001f600TNN"], ["AC-TAC", "XY-Z--"])
