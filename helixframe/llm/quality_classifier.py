@@ -8,6 +8,7 @@ learned together by stochastic gradient descent in numpy, on a bounded sample of
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +51,43 @@ def word_features(word: str, s: Settings) -> list[int]:
     return [zlib.crc32(x.encode()) % s.buckets for x in ["w" + word, *grams]]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def many_features(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(``word_features`` of each of ``words``, one after another, and their numbers): the n-grams at all places are hashed
+    together, a character and in it a byte at a time."""
+    own = np.frombuffer(("<" + "><".join(words) + ">").encode(), np.uint8)
+    letters = np.flatnonzero((own & 0xC0) != 0x80)
+    width = np.diff(np.append(letters, len(own)))
+    lengths = np.array([len(w) for w in words]) + 2
+    word, starts = np.repeat(np.arange(len(words)), lengths), np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - starts[word]
+    left, sizes = lengths[word] - place, 1 + sum(np.maximum(lengths - n + 1, 0) for n in range(s.shortest, s.longest + 1))
+    at = np.cumsum(sizes) - sizes
+    flat, crc = np.empty(sizes.sum(), np.uint32), np.full(len(letters), 0xFFFFFFFF, np.uint32)
+    flat[at] = [zlib.crc32(b"w" + w.encode()) for w in words]
+    at = at + 1
+    for n in range(1, s.longest + 1):
+        crc = crc[: len(letters) - n + 1]
+        crc = _CRC[(crc ^ own[letters[n - 1 :]]) & 255] ^ (crc >> 8)
+        for k in range(1, width.max()):
+            more = np.flatnonzero(width[n - 1 :] > k)
+            crc[more] = _CRC[(crc[more] ^ own[letters[more + n - 1] + k]) & 255] ^ (crc[more] >> 8)
+        if n >= s.shortest:
+            whole = np.flatnonzero(left[: len(crc)] >= n)
+            flat[at[word[whole]] + place[whole]] = ~crc[whole]
+            at = at + np.maximum(lengths - n + 1, 0)
+    return (flat % np.uint32(s.buckets)).astype(np.int64), sizes
+
+
 def document_words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -113,6 +151,10 @@ class WordTable:
     """
 
     ROWS = 500_000
+    #: New words that are hashed together.
+    TOGETHER = 4096
+    #: Words of the texts that are looked up together.
+    GROUP = 30_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.rows = model, {}
@@ -127,30 +169,52 @@ class WordTable:
             if len(self.rows) + len(new) > self.ROWS:
                 self.rows.clear()
                 new = set(words)
-            for w in new:
-                own, row = word_features(w, self.model.settings), len(self.rows)
-                self.sums[row] = self.model.vectors[own].sum(axis=0)
-                self.sizes[row], self.hashes[row], self.rows[w] = len(own), zlib.crc32(w.encode()), row
+            new = list(new)
+            for at in range(0, len(new), self.TOGETHER):
+                self._learn(new[at : at + self.TOGETHER])
             found = [self.rows[w] for w in words]
         return np.array(found)
 
+    def _learn(self, words: list[str]) -> None:
+        (features, sizes), first, end = many_features(words, self.model.settings), len(self.rows), len(self.rows) + len(words)
+        vectors, ends = self.model.vectors[features], np.cumsum(sizes).tolist()
+        self.sums[first:end] = [vectors[a:b].sum(axis=0) for a, b in zip([0, *ends], ends, strict=False)]
+        self.sizes[first:end], self.hashes[first:end] = sizes, [zlib.crc32(w.encode()) for w in words]
+        self.rows.update(zip(words, range(first, end), strict=True))
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+    """(number of the first, words of each) of texts one after another, of GROUP words at most or one alone."""
+    group, first, held = [], 0, 0
+    for k, text in enumerate(texts):
+        words = document_words(text)
+        if group and held + len(words) > min(WordTable.GROUP, WordTable.ROWS // 2):
+            yield first, group
+            group, first, held = [], k, 0
+        group.append(words)
+        held += len(words)
+    if group:
+        yield first, group
+
 
 def score(texts: list[str | None], model: Model) -> np.ndarray:
     """Probability of quality 1; a text without words gets that of the bias alone."""
     s = model.settings
     table = kept_in_worker(model, lambda: WordTable(model))
     means = np.zeros((len(texts), s.width), np.float32)
-    for row, text in enumerate(texts):
-        words = document_words(text)
-        total, size = np.zeros(s.width, np.float64), 0
-        for at in range(0, len(words), WordTable.ROWS // 2):  # a very long text in parts, each with the last word before it
-            rows = table.find(words[max(0, at - 1) : at + WordTable.ROWS // 2])
-            pairs = _pairs(table.hashes[rows], s).astype(np.int64)
-            rows = rows[1:] if at else rows
-            total += table.sums[rows].sum(axis=0) + model.vectors[pairs].sum(axis=0)
-            size += int(table.sizes[rows].sum()) + len(pairs)
-        if size:
-            means[row] = total / size
+    for first, group in _groups(texts):
+        found = table.find([w for words in group for w in words]) if len(group) > 1 else None
+        ends = np.cumsum([len(words) for words in group])
+        for k, words in enumerate(group):
+            total, size = np.zeros(s.width, np.float64), 0
+            for at in range(0, len(words), WordTable.ROWS // 2):  # a very long text in parts, each with the last word before it
+                rows = table.find(words[max(0, at - 1) : at + WordTable.ROWS // 2]) if found is None else found[ends[k] - len(words) : ends[k]]
+                pairs = _pairs(table.hashes[rows], s).astype(np.int64)
+                rows = rows[1:] if at else rows
+                total += table.sums[rows].sum(axis=0) + model.vectors[pairs].sum(axis=0)
+                size += int(table.sizes[rows].sum()) + len(pairs)
+            if size:
+                means[first + k] = total / size
     return _softmax(means @ model.weights + model.bias)[:, 1].astype(np.float64)
 
 

@@ -4,9 +4,9 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import Row
 
-from helixframe.llm import common
+from helixframe.llm import common, quality_classifier
 from helixframe.llm.packing import WordIds, encoder
-from helixframe.llm.quality_classifier import Settings, WordTable, classify, document_features, score, train
+from helixframe.llm.quality_classifier import Model, Settings, WordTable, classify, document_features, many_features, score, train, word_features
 
 SMALL = Settings(buckets=1 << 12, epochs=6)
 
@@ -75,3 +75,37 @@ def test_a_worker_keeps_what_one_operator_learned():
     assert score([rows[0][0]], one) == first
     encoder(WordIds, public_tokenizers.path("word_bpe_49k.json"))
     assert [type(x) for x in common._KEPT.values()] == [WordIds]
+
+
+def test_features_of_many_words_are_those_of_each():
+    words = ["a", "ab", "word", "é", "\u4e2d\u6587\u5b57", "na\u00efve", "a\U0001f600b", "<>", "x" * 300, "\u00df\u20ac" * 9, "word"]
+    for s in (SMALL, Settings(shortest=1, longest=7), Settings(shortest=5, longest=5)):
+        flat, sizes = many_features(words, s)
+        assert flat.tolist() == [f for w in words for f in word_features(w, s)] and sizes.tolist() == [len(word_features(w, s)) for w in words]
+
+
+def test_a_table_learns_words_together(monkeypatch):
+    """The words of a text are hashed at once, and their sums are those of their own features."""
+    model = Model(SMALL, np.random.default_rng(1).normal(size=(SMALL.buckets, SMALL.width)).astype(np.float32), np.zeros((SMALL.width, 2), np.float32), np.zeros(2, np.float32))
+    calls, words = [], [f"w\u00f6rd{k}" for k in range(50)]
+    monkeypatch.setattr(quality_classifier, "many_features", lambda own, s: calls.append(len(own)) or many_features(own, s))
+    table = WordTable(model)
+    rows = table.find([*words, *words])
+    assert rows[:50].tolist() == rows[50:].tolist() and calls == [50]
+    for w, row in zip(words, rows, strict=False):
+        own = word_features(w, SMALL)
+        assert (table.sums[row] == model.vectors[own].sum(axis=0)).all() and table.sizes[row] == len(own) and table.hashes[row] == zlib.crc32(w.encode())
+
+
+def test_scores_do_not_depend_on_what_is_looked_up_together(monkeypatch):
+    rows = [None, "", *(t for t, _ in texts(30, 8)), "one", "long " * 90 + "text"]
+    model = train([document_features(t, SMALL) for t in rows], [k % 2 for k in range(len(rows))], SMALL)
+    want, calls = score(rows, model), []
+    find = WordTable.find
+    monkeypatch.setattr(WordTable, "find", lambda self, words: calls.append(len(words)) or find(self, words))
+    assert (score(rows, model) == want).all() and len(calls) == 1
+    for group, most in ((1, 500_000), (100, 500_000), (30_000, 130), (30_000, 190)):
+        monkeypatch.setattr(WordTable, "GROUP", group)
+        monkeypatch.setattr(WordTable, "ROWS", most)
+        common._KEPT.clear()
+        assert np.allclose(score(rows, model), want, atol=1e-6)
