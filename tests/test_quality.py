@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators.quality import mott_interval, total_quality, window_cut
+from helixframe.operators.quality import mott_interval, total_quality, trim, window_cut
 from helixframe.plans.views import letter_qualities
 
 
@@ -50,3 +50,14 @@ def test_qualities_of_letters_and_long_reads_in_time(spark):
     long = spark.range(8).select(letter_qualities(F.expr("repeat('ACGTZK', 100000)")).alias("q")).select(window_cut(F.col("q"), 4, 5).alias("k"), mott_interval(F.col("q")).alias("m"))
     began = time.perf_counter()
     assert {r.k for r in long.collect()} == {600_000} and time.perf_counter() - began < 12
+
+
+def test_window_within_the_first_qualities(spark):
+    """What lies beyond the adapter counts no more than if it were cut out, and no read's qualities are cut out or copied."""
+    rows = [(k, q, n) for k, (q, n) in enumerate((q, n) for q in (None, [], [30], [5] * 3, [30] * 9 + [2] * 9, [30, None, 30, 30, 30, 1, 1, 1, 1], [2, 30, 30, 30, 30, 30]) for n in (None, 0, 1, 3, 4, 8, 10, 99))]
+    own = spark.createDataFrame(rows, "k int, qual array<int>, n int").coalesce(1).orderBy("k")
+    got = own.select(window_cut(F.col("qual"), 4, 20, F.col("n")).alias("a"), window_cut(F.slice("qual", F.lit(1), F.col("n"))).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and len({r["a"] for r in got}) > 5
+    reads = spark.createDataFrame([(1, "ACGTACGT", [30] * 8)], "doc_id long, seq string, qual array<int>")
+    plan = trim(reads).select("doc_id", "bases_trimmed", "discarded")._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "Generate" not in plan
