@@ -82,3 +82,14 @@ def test_a_filter_does_not_fold_texts_twice(spark, tmp_path):
     spark.createDataFrame([(1, "en", "acgt" * 20, "s", 80)], "doc_id long, lang string, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     plan = views.text_dna(spark, str(tmp_path)).where("length(seq) >= 40")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_no_stage_has_two_python_workers_a_task(spark, tmp_path):
+    """Features: what is worked in Python after folding is dealt first. Reads: one worker makes bases and qualities."""
+    spark.createDataFrame([(1, "en", "acgt" * 20, "s", 80)], "doc_id long, lang string, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = reports.genome_features(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    own = [line for line in lines if any(w in line for w in ("MapInArrow", "ArrowEvalPython", "Exchange"))]
+    for above, below in zip(own, own[1:], strict=False):
+        assert not ("MapInArrow" in above and "ArrowEvalPython" in below)
+    assert sum("MapInArrow" in line for line in own) == 2
+    assert views.reads(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
