@@ -27,11 +27,11 @@ def helix_atoms(sequences: DataFrame, most: int | None = HELIX_BASES) -> DataFra
     return strands.select("doc_id", "strand", "base_index", base.alias("base"), F.round(9 * F.cos(angle), 6).alias("x"), F.round(9 * F.sin(angle), 6).alias("y"), (3.0 * F.col("base_index")).cast("double").alias("z"))
 
 
-def backbone(proteins: DataFrame, most: int | None = 150) -> DataFrame:
+def backbone(proteins: DataFrame, most: int | None = None) -> DataFrame:
     """(doc_id, index, residue, kind, x, y, z): a point for each residue of (doc_id, seq), by its secondary structure.
 
     A helix winds on by 100 degrees and rises by 1.5, a sheet zigzags and rises by 3.2, a coil wanders and rises by 2.2.
-    The first ``most`` residues are drawn, with None all; null and empty proteins have none. Row by row: nothing is shuffled.
+    All residues are drawn, or the first ``most``; null and empty proteins have none. Row by row: nothing is shuffled.
     """
     drawn = proteins.select("doc_id", (F.col("seq") if most is None else F.substring("seq", 1, most)).alias("seq")).where("seq <> ''")
     placed = drawn.withColumn("letters", structure_letters(F.col("seq"))).withColumn("at", _along(F.col("letters")))

@@ -4,6 +4,7 @@ from pyspark.sql import Row
 
 from helixframe.functions.protein import structure
 from helixframe.operators.structure import backbone
+from helixframe.plans import reports
 
 
 def plain(seq):
@@ -28,3 +29,12 @@ def test_backbone_is_made_row_by_row(spark):
         wanted = [(i, *r) for i, s in enumerate(seqs) for r in plain((s or "")[:most])]
         assert [r[:4] for r in got] == [w[:4] for w in wanted]
         assert all(abs(a - b) < 2e-6 for r, w in zip(got, wanted, strict=True) for a, b in zip(r[4:], w[4:], strict=True))
+
+
+def test_backbone_query_draws_every_residue(spark, tmp_path):
+    text = "Mktayiakqrqisfvkshfsrq, " * 40
+    spark.createDataFrame([Row(doc_id=1, text=text, lang="en")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(reports.protein_backbone(spark, str(tmp_path)).collect())
+    wanted = plain("MKTAYIAKQRQISFVKSHFSRQ" * 40)
+    assert [r[1:4] for r in got] == [(i, residue, {"H": "helix", "S": "sheet", "C": "coil"}.get(kind, kind)) for i, residue, kind, *_ in wanted]
+    assert "substr(seq, 1, 150)" not in reports.SQL["protein_backbone"]
