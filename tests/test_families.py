@@ -145,6 +145,20 @@ def test_lamp_sets_of_many_templates_at_once():
     assert time.perf_counter() - began < 4
 
 
+def test_lamp_sets_of_whole_templates(spark):
+    """Where a set can only lie behind the first letters it is found there; sides are the best of either half."""
+    rng = random.Random(21)
+    texts = ["A" * 700 + "".join(rng.choice("ACGT") for _ in range(900)), "".join(rng.choice("ACGT") for _ in range(1500)), "ACGTTGCAAC" * 20]
+    made = lamp.designs(texts, most=None)
+    assert lamp.designs(texts)[0] == [] and made[0] and made == [lamp.design(t, most=None) for t in texts]
+    for t, sets in zip(texts, made, strict=True):
+        for core, f3, f2, f1c, *rest, f3_start, b3_end, score in sets:
+            front = lamp.best_side(t, 0, int(len(t) * 0.5 + 0.5), lamp.FRONT)
+            assert [p[0] for p in front["pieces"]] == [f3, f2, f1c] and front["pieces"][0][1] == f3_start
+    got = lamp.lamp_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, seq string")).collect()
+    assert sorted((r["doc_id"], r["rank"], r["f3_start"], r["b3_end"]) for r in got) == [(k, n, *s[-3:-1]) for k, sets in enumerate(made) for n, s in enumerate(sets, 1)]
+
+
 def test_cross_dimers_against_plain_loops():
     rng = random.Random(3)
     a, b = (["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 12))) for _ in range(60)] for _ in range(2))
