@@ -1,10 +1,11 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 
 from helixframe.operators.workflow import findings, run_tasks
-from helixframe.plans.reports import TASKS
+from helixframe.plans.reports import TASKS, species_task
 from pyspark.sql import functions as F
 
 SEQS = [(0, "ATGAAATAG" + "ACGTTGCA" * 30), (1, ""), (2, None), (50, "ATGAAATAG" + "ACGTTGCA" * 30 + "A"), (None, "GGGGGG"), (3, "ATG" + "AAA" * 30 + "TAG")]
@@ -42,3 +43,18 @@ def test_a_failing_task_leaves_the_others(spark):
         run_tasks(spark.createDataFrame(SEQS, "doc_id long, seq string"), tasks, ["no such"])
     found, log = run_tasks(spark.createDataFrame([], "doc_id long, seq string"), tasks, ["good"])
     assert found.count() == 0 and [tuple(r) for r in log.collect()] == [("good", "done", 0, 0, None)]
+
+
+def test_the_species_task_takes_every_document(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ACGT", k=200)) for _ in range(3)]
+    rows = [(7, texts[0]), (8, texts[0][:150] + texts[1][:50]), (9, texts[1]), (50, texts[0][50:]), (51, texts[2]), (52, "ACGT"), (53, None)]
+    sets = {i: {s[n : n + 11] for n in range(len(s) - 10)} for i, s in rows if s}
+    wanted = {}
+    for i, own in sets.items():
+        near = [(-100 * len(own & other) / len(own | other), j) for j, other in sets.items() if j != i and own & other]
+        if near:
+            wanted[i] = (min(near)[1], pytest.approx(-min(near)[0], abs=1e-6))
+    found = species_task(spark.createDataFrame(rows, "doc_id long, seq string")).collect()
+    got = {i: tuple(next(r["number"] for r in found if r["doc_id"] == i and r["finding"] == n) for n in ("reference", "similarity")) for i in {r["doc_id"] for r in found}}
+    assert got == wanted and set(got) == {7, 8, 9, 50}
